@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, warc
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_warc": warc.op8_warc,
 }
 
 ORACLES = {
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }
