@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, warc
+from . import line_dedup, topk, warc
 
 QUERIES = {
+    "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_warc": warc.op8_warc,
 }
 
 ORACLES = {
+    "op4_topk": topk.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
 }
