@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, topk, warc
+from . import html_text, line_dedup, topk, warc
 
 QUERIES = {
     "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_html_text": html_text.op6_html_text,
     "op8_warc": warc.op8_warc,
 }
 
