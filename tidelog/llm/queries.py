@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, topk, warc
+from . import html_text, line_dedup, sentencepiece, topk, warc
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_html_text": html_text.op6_html_text,
