@@ -160,8 +160,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """assemble(), with the page id of the response that each revisit refers to."""
-    cap = assemble(records)
+    """assemble(), written once, with the page id of the response that each revisit refers to."""
+    cap = C.written(assemble(records), "warc-captures")
     owner = cap.where(F.col("response.type") == "response").select(F.col("response.record_id").alias("o_id"), F.col("metadata.page_id").alias("refers_to_page"))
     refs = cap.where(F.col("response.type") == "revisit")
     joined = refs.join(owner, F.col("response.refers_to") == F.col("o_id"), "left").drop("o_id")
@@ -175,7 +175,7 @@ def captures(records: DataFrame) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.fresh_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    cap = captures(C.written(read_warc(spark, path), "warc-records"))
+    cap = captures(read_warc(spark, path))
     return cap.select(
         F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"),
