@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, sentencepiece, topk, warc
+from . import html_text, line_dedup, quality, sentencepiece, topk, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_html_text": html_text.op6_html_text,
     "op8_warc": warc.op8_warc,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLES = {
