@@ -158,7 +158,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np
         v = 0
         for w in words[first[i] : first[i + 1]].tolist():
             v = (v * _BASE + w) % (1 << 64)
-        acc[first[i]] = _U((v + count[i]) % (1 << 64))
+        acc[first[i]] = _U((v + int(count[i])) % (1 << 64))
         keep[first[i]] = True
     total = np.where(long, n_sh, (count > 0).astype(np.int64))
     out = np.zeros(len(first), np.int64)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, quality, sentencepiece, topk, warc
+from . import html_text, line_dedup, near_dup, quality, sentencepiece, topk, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_html_text": html_text.op6_html_text,
+    "op7_near_dup": near_dup.op7_near_dup,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
 }
