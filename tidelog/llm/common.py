@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,44 @@ def put(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+# --------------------------------------------------------------------------- tables of counts
+
+TABLE = "part int, task long, n long, blob binary"
+PARTS, FAN = 16, 64  # pieces of a table; partial tables that one task adds
+
+
+def partial_table(counts: np.ndarray, n: int) -> pa.RecordBatch:
+    """This task's counts (int64, a multiple of PARTS) over n rows, as rows of TABLE."""
+    task = TaskContext.get().partitionId()
+    blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PARTS)]
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([task] * PARTS, pa.int64()), pa.array([n] * PARTS, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "task", "n", "blob"])
+
+
+def summed_table(partial: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """The sum of all tasks' partial tables and the number of rows; only tables of this fixed size move.
+
+    Groups of FAN partial tables are added until one is left, so no task reads more than FAN, however many
+    tasks there are.
+    """
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size // PARTS, np.int64)
+        for b in pdf["blob"]:
+            total += np.frombuffer(zlib.decompress(b), np.int64)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0] // FAN], "n": [pdf["n"].sum()], "blob": [zlib.compress(total.tobytes(), 1)]})
+
+    tasks = partial.rdd.getNumPartitions()
+    while True:
+        partial = partial.groupBy("part", F.expr(f"task div {FAN}").alias("g")).applyInPandas(add, TABLE)
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    got = {r["part"]: (r["n"], np.frombuffer(zlib.decompress(r["blob"]), np.int64)) for r in partial.toLocalIterator()}
+    if not got:
+        return np.zeros(size, np.int64), 0
+    return np.concatenate([got[k][1] for k in range(PARTS)]), got[0][0]
+
+
 # --------------------------------------------------------------------------- hashes of words
 
 _U = np.uint64

@@ -21,11 +21,9 @@ has one shingle of all its words; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +35,7 @@ from .components import connected_components
 _U = np.uint64
 BITS = 20
 BUCKETS = 1 << BITS
-PARTS = 16  # pieces that the table of counts is summed in
 KEY = _U(44)  # bits of a shingle's key within a document
-FAN = 64
 
 
 def _keys(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,18 +54,8 @@ def bucket_of(keys: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- document frequencies
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.tobytes(), 1)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.int64)
-
-
 def _count(text_col: str, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         counts, n = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
             texts = [t or "" for t in b.column(text_col).to_pylist()]
@@ -79,35 +65,15 @@ def _count(text_col: str, shingle: int):
                 once = np.unique((doc << BITS) | bucket_of(keys)) & (BUCKETS - 1)
                 counts += np.bincount(once, minlength=BUCKETS)
         if n:
-            part = TaskContext.get().partitionId()
-            blobs = [_pack(x) for x in np.split(counts, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([part] * PARTS, pa.int64()), pa.array([n] * PARTS, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "task", "n", "blob"])
+            yield C.partial_table(counts, n)
 
     return run
 
 
-def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BUCKETS // PARTS, np.int64)
-    for b in pdf["blob"]:
-        total += _unpack(b)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0] // FAN], "n": [pdf["n"].sum()], "blob": [_pack(total)]})
-
-
 def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> np.ndarray:
     """ln((1 + N) / (1 + df)) + 1 of each bucket, float32; the array has a fixed size."""
-    rows = "part int, task long, n long, blob binary"
-    partial = docs.select(text_col).mapInArrow(_count(text_col, shingle), rows)
-    tasks = partial.rdd.getNumPartitions()
-    while True:
-        partial = partial.groupBy("part", F.expr(f"task div {FAN}").alias("g")).applyInPandas(_sum, rows)
-        tasks = -(-tasks // FAN)
-        if tasks <= 1:
-            break
-    got = {r["part"]: (r["n"], _unpack(r["blob"])) for r in partial.toLocalIterator()}
-    if not got:
-        return np.ones(BUCKETS, np.float32)
-    n, df = got[0][0], np.concatenate([got[k][1] for k in range(PARTS)])
-    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    df, n = C.summed_table(docs.select(text_col).mapInArrow(_count(text_col, shingle), C.TABLE), BUCKETS)
+    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32) if n else np.ones(BUCKETS, np.float32)
 
 
 # --------------------------------------------------------------------------- sampling

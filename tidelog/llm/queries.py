@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, near_dup, quality, sentencepiece, topk, warc
+from . import decontam, html_text, line_dedup, lm_score, near_dup, quality, sentencepiece, topk, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
+    "op3_decontam": decontam.op3_decontam,
     "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_html_text": html_text.op6_html_text,
     "op7_near_dup": near_dup.op7_near_dup,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 
 ORACLES = {
