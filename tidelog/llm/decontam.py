@@ -191,9 +191,6 @@ def find_leaks(
     """One row (LEAKS) per document and benchmark item that it leaks."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks: list[list] = [[]]
-    size = 0
-    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
 
     def search(block: list) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
@@ -211,16 +208,42 @@ def find_leaks(
 
         return base.mapInArrow(run, LEAKS)
 
+    found = [search(b) for b in _blocks(items, item_col, item_text, block_chars)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def _blocks(items: DataFrame, item_col: str, item_text: str, block_chars: int) -> Iterator[list]:
+    """The items in blocks of at most block_chars characters (a longer item alone), one block at least."""
+    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
+    block, size = [], 0
     for r in rows.toLocalIterator():
-        if blocks[-1] and size + len(r["t"]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
+        if block and size + len(r["t"]) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
         size += len(r["t"])
-    out = search(blocks[0])
-    for block in blocks[1:]:
-        out = out.union(search(block))
-    return out
+    yield block
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_chars: int = 40, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 4 << 20) -> DataFrame:
+    """docs less those that leak an item, found as find_leaks finds them; a pass for each block, no exchange."""
+    for block in _blocks(items, item_col, item_text, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, rate, min_chars)
+            for b in batches:
+                texts = [t or "" for t in b.column(text_col).to_pylist()]
+                keep = np.ones(len(texts), bool)
+                for lo, hi in C.chunks(texts):
+                    keep[[lo + x[0] for x in (index.leaks(texts[lo:hi]) if index.items else ())]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@
 4. Pairs that agree on enough samples are verified by exact weighted Jaccard similarity on their whole texts,
    and connected components of verified pairs are the classes.
 
-Words are case-folded runs of ASCII letters and digits and non-ASCII characters.  Defined results: documents
-without a word (null and empty texts too) stand alone, each a class of its own; rows of a null id get a null class; repeated rows of an id share its class; a text of one to four words
+Words are case-folded runs of ASCII letters and digits and non-ASCII characters.  Defined results: equal texts are
+copies, null counting as empty, and texts without a word have no other near duplicates; rows of a null id get a null class; repeated rows of an id share its class; a text of one to four words
 has one shingle of all its words; an empty table gives an empty table.
 """
 
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(base, "text", shingle))  # 4 MB at every size
     signs = C.written(base.mapInArrow(_sign("id", "text", shingle, idf, bands, rows), "id long, c1 long, c2 long, total double, sig binary, band array<long>"), "signs")
-    named = signs.where("id is not null and sig is not null")
+    named = signs.where("id is not null")
     heads = C.written(named.groupBy("c1", "c2").agg(F.min(F.struct("id", "total", "sig", "band")).alias("h")).select("c1", "c2", "h.*"), "heads")
 
     # rows (key, id) of buckets that hold two representatives at least, with the hub of each
@@ -231,9 +231,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = heads.select("c1", "c2", "id").join(labels, "id", "left").select("c1", "c2", F.coalesce("label", "id").alias("label"))
     out = named.select("id", "c1", "c2").join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("label").alias("class_id"))
-    alone = signs.where("id is null or sig is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"))
+    alone = signs.where("id is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"))
     return out.union(alone)
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row, of the smallest id, of each class; rows of a null id stay."""
+    classes = near_duplicates(docs, id_col, text_col, **options).where(f"{id_col} is not null")
+    classes = C.written(classes.groupBy(id_col).agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("times")), "classes")
+    ids = docs.withColumn(id_col, F.col(id_col).cast("long"))
+    kept = ids.join(classes.where(f"{id_col} <> class_id").select(id_col), id_col, "left_anti")
+    twice = classes.where(f"times > 1 and {id_col} = class_id").select(id_col)
+    if not twice.isEmpty():  # repeated rows of one id: one of them stays
+        own = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col])
+        kept = kept.join(twice, id_col, "left_anti").unionByName(own)
+    return kept.select(*docs.columns)
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

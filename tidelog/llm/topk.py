@@ -31,8 +31,14 @@ RESULT = "query_id long, vec_id long, score long"
 class Postings:
     """The inverted lists of one shard, with a forward index to probe."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.v = ids, vectors  # ids ascending
+    GROUP = 16  # dimensions probed between two looks at the threshold
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: int):
+        """ids ascending; largest: of the queries' components, by which products stay exact in doubles or not."""
+        self.ids = ids
+        most = int(np.abs(vectors).max()) if vectors.size else 0
+        self.exact = np.float64 if most * largest * max(1, vectors.shape[1]) < 1 << 53 else np.int64
+        self.v = np.ascontiguousarray(vectors.astype(self.exact))
         self.lists, self.most = {}, {}
         for d in range(vectors.shape[1]):
             x = vectors[:, d]
@@ -57,28 +63,32 @@ class Postings:
         done[np.searchsorted(self.ids, query_id) : np.searchsorted(self.ids, query_id, side="right")] = True
         floor = -np.inf
 
+        weights = q[:width].astype(self.exact)
+        bound_of = np.zeros(width, np.int64)
+        for bound, d, _ in terms:
+            bound_of[d] = max(bound_of[d], bound)  # a row is in one of the two lists of a dimension at most
+        order = np.argsort(-bound_of, kind="stable")
+        groups = [order[i : i + self.GROUP] for i in range(0, width, self.GROUP)]
+        after = [int(bound_of[order[(i + 1) * self.GROUP :]].sum()) for i in range(len(groups))]
+
         def score(rows: np.ndarray) -> None:
-            """Score candidates: essential terms first, then the others while they compete."""
+            """Score candidates, terms of large bounds first, dropping those that can't compete any more."""
             nonlocal best_ids, best, floor
-            part = np.zeros(len(rows), np.int64)
-            left = int(bounds[-1]) if len(bounds) else 0
-            for bound, d, sign in reversed(terms):
-                if not bound:
-                    break  # the rest only lowers scores
-                x = self.v[rows, d] * sign
-                part += np.maximum(x, 0) * (int(q[d]) * sign)
-                left -= bound
+            own = self.v[rows]
+            part = np.zeros(len(rows), self.exact)
+            for dims, left in zip(groups, after, strict=True):
+                part += own[:, dims] @ weights[dims]
                 if floor > -np.inf:
                     alive = part + left >= floor
                     if not alive.all():
-                        rows, part = rows[alive], part[alive]
+                        rows, part, own = rows[alive], part[alive], own[alive]
                         if not len(rows):
                             return
-            for d in np.flatnonzero(q[:width] != 0).tolist():  # the terms of negative weight
-                x = self.v[rows, d] * int(q[d])
-                part += np.minimum(x, 0)
+            if len(rows) > 4 * k:  # the k best and their ties are enough
+                cut = np.partition(part, len(part) - k)[len(part) - k]
+                rows, part = rows[part >= cut], part[part >= cut]
             ids = np.concatenate([best_ids, self.ids[rows]])
-            scores = np.concatenate([best, part])
+            scores = np.concatenate([best, part.astype(np.int64)])
             top = np.lexsort((ids, -scores))[:k]
             best_ids, best = ids[top], scores[top]
             if len(best) == k:
@@ -119,7 +129,8 @@ def _cell(k: int):
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         vectors = vectors.sort_values("id", kind="stable")
-        shard = Postings(vectors["id"].to_numpy(np.int64), _matrix(vectors["x"].tolist()))
+        largest = max((int(np.abs(q).max()) for q in queries["x"] if len(q)), default=0)
+        shard = Postings(vectors["id"].to_numpy(np.int64), _matrix(vectors["x"].tolist()), largest)
         out = []
         for i, q in zip(queries["id"].tolist(), queries["x"].tolist(), strict=True):
             ids, scores = shard.search(i, np.asarray(q, np.int64), k)

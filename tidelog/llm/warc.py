@@ -51,11 +51,12 @@ def write_warc(
     """Write the archives of pages into the folder path."""
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
-    small = p.select("id", "digest", "bytes").where(F.col("bytes") >= min_revisit)
+    p = p.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("")))  # never null: window and join share one exchange
+    small = p.select("id", "key", "digest", "bytes").where(F.col("bytes") >= min_revisit)
     groups = small.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = small.select("id", "digest").distinct().join(groups, "digest").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "first", F.lit(True).alias("grouped"))
-    p = p.withColumn("k", F.row_number().over(Window.partitionBy("id", "digest").orderBy("url")))
-    p = p.join(again.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    again = small.select("key", "digest").distinct().join(groups, "digest").select("key", "digest", "first", F.lit(True).alias("grouped"))
+    p = p.withColumn("k", F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")))
+    p = p.join(again.hint("shuffle_hash"), ["key", "digest"], "left")
     revisit = F.coalesce(F.col("grouped"), F.lit(False)) & ~(F.col("id").eqNullSafe(F.col("first")) & (F.col("k") == 1))
 
     target = F.regexp_replace("url", r"[\r\n]", "%0A")
