@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,16 @@ def chunks(texts: list, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Parts of batch with about most_bytes of text each, before any of it becomes Python objects."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most_bytes, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def put(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """batch with these columns replaced in place or appended."""
     names, arrays = list(batch.schema.names), list(batch.columns)

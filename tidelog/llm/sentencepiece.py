@@ -301,7 +301,7 @@ class Model:
             unknown = i < 0
         return np.array(ids, np.int32).tobytes()
 
-    def learn(self, words: set[str], most: int = 400_000) -> None:
+    def learn(self, words: set[str], most: int = 250_000) -> None:
         """Encode words that the cache doesn't hold; the cache has two generations of ``most`` words."""
         if len(self.cache) > most:
             self.old, self.cache = self.cache, {}
@@ -380,22 +380,27 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """docs with ``token_ids`` array<int> and ``n_tokens`` long."""
-    docs = C.without(docs, "token_ids", "n_tokens")
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """docs with ``token_ids`` array<int> and ``n_tokens`` long; decoded names a column for what the ids decode to.
+
+    The worker that encodes also decodes, so that a task needs one process with the model's tables.
+    """
+    docs = C.without(docs, "token_ids", "n_tokens", *([decoded] if decoded else []))
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shared.value)
         for b in batches:
-            texts = [t or "" for t in b.column(text_col).to_pylist()]
-            for lo, hi in C.chunks(texts, 1 << 21):
-                blobs = m.encode(texts[lo:hi])
+            for part in C.slices(b, text_col, 1 << 20):
+                blobs = m.encode(part.column(text_col).to_pylist())
                 sizes = np.fromiter((len(x) // 4 for x in blobs), np.int64, len(blobs))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
-                yield C.put(b.slice(lo, hi - lo), token_ids=ids, n_tokens=pa.array(sizes))
+                more = {decoded: pa.array([m.decode(np.frombuffer(x, np.int32)) for x in blobs], pa.string())} if decoded else {}
+                yield C.put(part, token_ids=ids, n_tokens=pa.array(sizes), **more)
 
     return docs.mapInArrow(run, schema)
 
@@ -422,6 +427,6 @@ def decode(tokens: DataFrame, model: bytes, ids_col: str = "token_ids", to: str
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = model_bytes()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, model), model)
+    both = encode(docs, model, decoded="decoded")
     same = F.translate(F.coalesce("text", F.lit("")), MARK, " ") == F.col("decoded")
     return both.select("doc_id", "n_tokens", "token_ids", same.alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))
