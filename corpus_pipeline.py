@@ -32,7 +32,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to."""
     model = sentencepiece.model_bytes()
-    both = sentencepiece.decode(sentencepiece.encode(docs, model), model)
+    both = sentencepiece.encode(docs, model, decoded="decoded")
     same = F.translate(F.coalesce("text", F.lit("")), sentencepiece.MARK, " ") == F.col("decoded")
     return both.select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", same.alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
