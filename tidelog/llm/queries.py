@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, line_dedup, lm_score, near_dup, quality, sentencepiece, topk, warc
+from . import decontam, html_text, line_dedup, lm_score, near_dup, pii, quality, sentencepiece, topk, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
+    "op2_pii": pii.op2_pii,
     "op3_decontam": decontam.op3_decontam,
     "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
