@@ -47,8 +47,7 @@ _FULL = re.compile(r"(?<!\w)(" + "|".join(sorted(GENDER, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _EMAIL = re.compile(r"[\w%+\-][\w.%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _NUMBERS = re.compile(
-    r"(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))"
-    r"|(?P<ip>(?<![\w.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\w|\.\d))"
+    r"(?P<ip>(?<![\w.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\w|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<hex>(?<!\w)(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?!\w))"
     r"|(?P<card>(?<![\w.\-+])\d(?:[ \-]?\d){12,18}(?![\w\-]))"
@@ -56,7 +55,8 @@ _NUMBERS = re.compile(
     r"|(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
 )
 _SECRET = re.compile(r"(?i)(?<![a-z])(?:token|password|passwd|secret|api[_\-]?key)[^\w\n]{0,6}[=:][^\w\n]{0,6}([A-Za-z0-9_\-+/=.]*[A-Za-z0-9_\-+/=])")
-_HINT = re.compile("[0-9@]")  # every entity but names holds one
+_KEY = re.compile(r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
+_HINT = re.compile("[0-9@]|AKIA")  # every entity but names holds one
 
 
 _DIGITS = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*(?: [^\s0-9]*[0-9]\S*)*")  # where _NUMBERS can match
@@ -72,10 +72,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if _HINT.search(text):
         if "@" in text:
             found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        if "AKIA" in text:
+            found += [(m.start(), m.end(), "secret", m[0]) for m in _KEY.finditer(text)]
         found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text) if len(m[1]) >= 8 and re.search("[0-9]", m[1])]
         for m in (m for w in _DIGITS.finditer(text) for m in _NUMBERS.finditer(text, w.start(), w.end())):
             kind, value = m.lastgroup, m[0]
-            if kind in ("key", "hex"):
+            if kind == "hex":
                 kind = "secret"
             elif kind == "iban":
                 value = value.replace(" ", "")
