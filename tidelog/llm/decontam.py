@@ -197,11 +197,11 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, rate, min_chars)
-            for b in batches:
-                ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+            for batch in batches:
                 out = []
-                for lo, hi in C.chunks(texts):
-                    out += [(ids[lo + t], index.ids[k], d, len(index.items[k]), s, e) for t, k, d, s, e in (index.leaks(texts[lo:hi]) if index.items else ())]
+                for b in C.slices(batch, "text") if index.items else ():
+                    ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+                    out += [(ids[t], index.ids[k], d, len(index.items[k]), s, e) for t, k, d, s, e in index.leaks(texts)]
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in LEAKS.split(", ")])
@@ -235,12 +235,12 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_cha
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, rate, min_chars)
-            for b in batches:
-                texts = [t or "" for t in b.column(text_col).to_pylist()]
-                keep = np.ones(len(texts), bool)
-                for lo, hi in C.chunks(texts):
-                    keep[[lo + x[0] for x in (index.leaks(texts[lo:hi]) if index.items else ())]] = False
-                yield b.filter(pa.array(keep))
+            for batch in batches:
+                for b in C.slices(batch, text_col):
+                    texts = [t or "" for t in b.column(text_col).to_pylist()]
+                    keep = np.ones(len(texts), bool)
+                    keep[[x[0] for x in (index.leaks(texts) if index.items else ())]] = False
+                    yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -98,10 +98,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
-    for b in batches:
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        for lo, hi in C.chunks(texts):
-            waiting.append(np.unique(tokens(texts[lo:hi])[0], return_counts=True))
+    for batch in batches:
+        for b in C.slices(batch, "text"):
+            waiting.append(np.unique(tokens([t or "" for t in b.column("text").to_pylist()])[0], return_counts=True))
             if sum(len(w[0]) for w in waiting) > 1 << 20:
                 merge()
                 if len(keys) > 1 << 21:  # bounded memory: what is summed so far leaves
@@ -125,11 +124,10 @@ def bigram_counts(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(cells, np.int64), 0
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            n += len(texts)
-            for lo, hi in C.chunks(texts):
-                code, times = np.unique(vocab.bigrams(texts[lo:hi])[0], return_counts=True)
+        for batch in batches:
+            n += batch.num_rows
+            for b in C.slices(batch, "text"):
+                code, times = np.unique(vocab.bigrams([t or "" for t in b.column("text").to_pylist()])[0], return_counts=True)
                 counts[code] += times
         if n:
             yield C.partial_table(counts, n)
@@ -169,16 +167,15 @@ def score(docs: DataFrame, target: DataFrame, text_col: str = "text", size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, near, far = shared.value
-        for b in batches:
-            texts = [t or "" for t in b.column(text_col).to_pylist()]
-            for lo, hi in C.chunks(texts):
-                code, first = own.bigrams(texts[lo:hi])
+        for batch in batches:
+            for b in C.slices(batch, text_col):
+                code, first = own.bigrams([t or "" for t in b.column(text_col).to_pylist()])
                 n = np.diff(first)
                 mean = []
                 for table in (near, far):
                     cum = np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])
                     mean.append((cum[first[1:]] - cum[first[:-1]]) / np.maximum(n, 1))
-                yield C.put(b.slice(lo, hi - lo), n_words=pa.array(n), target_loss=pa.array(mean[0]), background_loss=pa.array(mean[1]), ced=pa.array(mean[0] - mean[1]))
+                yield C.put(b, n_words=pa.array(n), target_loss=pa.array(mean[0]), background_loss=pa.array(mean[1]), ced=pa.array(mean[0] - mean[1]))
 
     return docs.mapInArrow(run, schema)
 

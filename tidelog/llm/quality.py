@@ -224,18 +224,15 @@ def _distinct(rows: np.ndarray, feats: np.ndarray, dims: int) -> tuple[np.ndarra
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        col = lambda k: b.column(k).to_pylist()  # noqa: B023, E731
-        n, (text, meta) = b.num_rows, views(col("text"), col("lang"), col("source"))
-        if not n:
-            continue
-        cols = []
-        for (r, f), dims in zip((text, meta), DIMS, strict=True):
-            r, f = _distinct(r, f, dims)
-            cuts = np.searchsorted(r, np.arange(n + 1))
-            f = f.astype(np.int32)
-            cols.append(pa.array([f[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), *cols], names=["doc_id", "quality", "toxic", "text", "meta"])
+    for batch in batches:
+        for b in C.slices(batch, "text"):
+            n, cols = b.num_rows, []
+            for (r, f), dims in zip(views(*[b.column(k).to_pylist() for k in ("text", "lang", "source")]), DIMS, strict=True):
+                r, f = _distinct(r, f, dims)
+                cuts = np.searchsorted(r, np.arange(n + 1))
+                f = f.astype(np.int32)
+                cols.append(pa.array([f[x:z].tobytes() for x, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), *cols], names=["doc_id", "quality", "toxic", "text", "meta"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, pool_rows: int = 3000, rounds: int = 3, batch: int = 150, sure: float = 0.98) -> dict[str, CoTrained]:
@@ -284,17 +281,15 @@ def score(docs: DataFrame, models: dict[str, CoTrained], threshold: float = 0.5)
         for m in own.values():
             for k, v in enumerate(getattr(m, "views", [])):
                 used[k] |= v.w != 0
-        for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("text", "lang", "source")]
-            cols[0] = [t or "" for t in cols[0]]
-            for lo, hi in C.chunks(cols[0]):
-                data = []
-                for k, (r, f) in enumerate(views(*[c[lo:hi] for c in cols])):
+        for batch in batches:
+            for b in C.slices(batch, "text"):
+                data, n = [], b.num_rows
+                for k, (r, f) in enumerate(views(*[b.column(c).to_pylist() for c in ("text", "lang", "source")])):
                     on = used[k][f]
                     data.append(_distinct(r[on], f[on], DIMS[k]))
-                good, bad = (own[k].predict(data, hi - lo) for k in LABELS)
+                good, bad = (own[k].predict(data, n) for k in LABELS)
                 keep = (good >= threshold) & (bad < threshold)
-                yield C.put(b.slice(lo, hi - lo), p_quality=pa.array(good), p_toxic=pa.array(bad), quality_score=pa.array(good * (1 - bad)), keep=pa.array(keep))
+                yield C.put(b, p_quality=pa.array(good), p_toxic=pa.array(bad), quality_score=pa.array(good * (1 - bad)), keep=pa.array(keep))
 
     return docs.mapInArrow(run, schema)
 

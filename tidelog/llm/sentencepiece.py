@@ -301,7 +301,7 @@ class Model:
             unknown = i < 0
         return np.array(ids, np.int32).tobytes()
 
-    def learn(self, words: set[str], most: int = 250_000) -> None:
+    def learn(self, words: set[str], most: int = 150_000) -> None:
         """Encode words that the cache doesn't hold; the cache has two generations of ``most`` words."""
         if len(self.cache) > most:
             self.old, self.cache = self.cache, {}
