@@ -51,7 +51,7 @@ def key_hashes(text: str | None, min_chars: int) -> tuple[list[int], list[bytes]
 
 def _emit(id_col: str, text_col: str, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in C.slices(batch, text_col, 4 << 20)):
             ids, hashes = [], []
             for i, t in zip(b.column(id_col).to_pylist(), b.column(text_col).to_pylist(), strict=True):
                 if i is not None:
@@ -161,7 +161,7 @@ def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
 def _probe(id_col: str, text_col: str, min_chars: int, shards: int, tables, last: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: pickle.loads(v) for k, v in tables.value.items()} if tables else {}
-        for b in batches:
+        for b in (p for batch in batches for p in C.slices(batch, text_col, 4 << 20)):
             ids, texts = b.column(id_col).to_pylist(), b.column(text_col).to_pylist()
             marks = b.column("__drop").to_pylist() if "__drop" in b.schema.names else [None] * len(ids)
             rows, where, hashes = [], [], []
