@@ -480,3 +480,122 @@ def ancestry(spark, sf):
     _edges(store, table(spark, sf, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("a"), F.floor((F.col("p_partkey") - 1) / 2).alias("b")))
     up = rel("edge").where_eq(0, 100).project(1).iterate(lambda x: x.join(rel("edge"), [0], [0]).project(2))
     return _find(store, up, ["ancestor"])
+
+
+# ---------------------------------------------------------------- i: stateful pieces and the language
+
+
+@query("SELECT a.s_suppkey AS me, b.s_suppkey AS other, b.s_name AS name FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_suppkey = 3")
+def view_here(spark, sf):
+    from .lang.program import Program
+
+    text = 'rel supplier(k: Int, name: Text, nation: Int, bal: Float)  view here(me) { supplier(me, n, place, b) supplier(other, name, place, c) yield other, name }'
+    out = Program(text).find_view("here", [3], world(spark, sf, "supplier"))
+    return out.select(F.lit(3).cast("long").alias("me"), "other", "name")
+
+
+@query("SELECT c_mktsegment AS segment, sum(DISTINCT c_nationkey)::BIGINT AS nations FROM customer GROUP BY 1")
+def view_sum(spark, sf):
+    from .lang.program import Program
+
+    text = "rel customer(ck: Int, cn: Text, nk: Int, bal: Float, seg: Text)  view nations() { customer(c, n, nk, b, seg) yield seg, sum(nk) }"
+    return Program(text).find_view("nations", [], world(spark, sf, "customer")).toDF("segment", "nations")
+
+
+@query("SELECT n_regionkey::BIGINT AS region, count(*)::BIGINT AS n FROM nation GROUP BY 1")
+def named_reduce(spark, sf):
+    from .lang.program import Program
+
+    p = Program("rel nation(nk: Int, nn: Text, rk: Int)  view all() { nation(nk, nn, rk) yield nk, rk }")
+    return Snapshot(world(spark, sf, "nation")).find(p.reduce_view("all", [], ["rk"], "count"), ["region", "n"])
+
+
+def _small(spark, sf) -> TraceStore:
+    """Nations and regions as small commits, some of them taken back."""
+    from .types import Ent
+
+    store = TraceStore(spark)
+    store.register("nation", Schema.of(("nk", Ty.ENT), ("nn", Ty.TEXT), ("rk", Ty.ENT)))
+    rows = [(Ent(r[0]), r[1], Ent(r[2])) for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]
+    for at in range(0, len(rows), 5):
+        store.commit([("nation", r, 1) for r in rows[at : at + 5]])
+    store.commit([("nation", r, -1) for r in rows if r[0] % 4 == 0])
+    return store
+
+
+def _sum_of(spark, rows, names) -> DataFrame:
+    return spark.createDataFrame([tuple(int(v) if isinstance(v, int) else v for v in r) for r in rows], names)
+
+
+_LEFT = "SELECT n_regionkey::BIGINT AS region, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0"
+
+
+@query(_LEFT)
+def watch_pump(spark, sf):
+    from .plans.local import consolidate
+    from .process.watch import OnWatch
+    from .types import Ent
+
+    store, taken = _small(spark, sf).fork_at(1), []
+    w = OnWatch(store, rel("nation").project(2, 1), Ent(1), "mail", "wcursor", "wseq", Ent(9), including_current=True)
+    w.pump()
+    for e in range(2, 7):  # the rest of the history, edition by edition
+        store.commit([(n, r, d) for n in ("nation",) for x, r, d in _small(spark, sf).updates(n, e - 1, e)])
+        w.pump()
+    taken = [(r[2][1], r[2][0]) for r, _ in store.local("mail")]
+    return _sum_of(spark, [r for r, d in consolidate(taken) if d > 0], "region long, name string")
+
+
+@query(_LEFT)
+def mat_view(spark, sf):
+    from .process.watch import Materialized
+    from .types import Ent
+
+    store = _small(spark, sf)
+    view = Materialized(store, rel("nation").project(2, 1), "nation_view", "vcursor", Ent(1))
+    view.refresh()
+    return _sum_of(spark, [r for r, w in view.rows() if w > 0], "region long, name string")
+
+
+@query("SELECT n_nationkey::BIGINT AS due, n_name AS name, (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS seq FROM nation WHERE n_nationkey <= 12")
+def scheduler_fire(spark, sf):
+    from .process.timers import Scheduler
+    from .types import Ent
+
+    store = TraceStore(spark)
+    inbox = store.register("inbox").id
+    store.commit([("timers", (int(r[0]), inbox, Ent(7), (r[1], int(r[0]))), 1) for r in table(spark, sf, "nation").collect()])
+    Scheduler(store, "timers", "seqs").fire_due(12)
+    return _sum_of(spark, [(r[2][1], r[2][0], r[1]) for r, _ in store.local("inbox")], "due long, name string, seq long")
+
+
+@query("SELECT n_nationkey::BIGINT AS seq, n_name AS name FROM nation")
+def replay(spark, sf):
+    from .process.actors import Process, replay_from
+    from .process.patch import Patch
+    from .types import Ent
+
+    store = TraceStore(spark)
+    store.commit([("inbox", (Ent(1), int(r[0]), (r[1],)), 1) for r in table(spark, sf, "nation").collect()])
+    actor = Process(store, Ent(1), "inbox", "cursor", lambda s, at, me, body: Patch(asserts=[("heard", (me, body[0]))]))
+    actor.run()
+    again = replay_from(actor, 1)
+    return _sum_of(spark, [(p.patch.cursor[2][1] - 1, p.patch.asserts[0][1][1]) for p in again], "seq long, name string")
+
+
+@query(_EV + "SELECT user_id, count(*)::BIGINT AS n FROM (SELECT user_id, bucket FROM t GROUP BY ALL HAVING sum(d) > 0) GROUP BY 1")
+def stream_view(spark, sf):
+    """A view maintained by Structured Streaming over a log folder that grows, then read as the sum of its changes."""
+    import uuid
+
+    from .sources.storage import shared_dir
+    from .sources.tables import events_log
+    from .streaming import DeltaTable, log_stream, maintain
+
+    base = f"{shared_dir(spark)}/tidelog-stream-{uuid.uuid4().hex}"
+    schema, log = Schema.of(("user_id", Ty.INT), ("bucket", Ty.INT)), events_log(spark, sf)
+    sink, plan = DeltaTable(spark, f"{base}/view"), rel("ev").reduce([0], Agg("count"))
+    for lo, hi in ((0, 20), (20, 1 << 40)):
+        log.where((F.col("__edition") > lo) & (F.col("__edition") <= hi)).write.mode("append").parquet(f"{base}/log")
+        maintain(log_stream(spark, f"{base}/log", schema), "ev", f"{base}/log", schema, plan, sink, f"{base}/offsets", ["user_id", "n"]).awaitTermination()
+    return sink.rows().drop("__diff")

@@ -1,0 +1,93 @@
+"""Structured Streaming: plans maintained as log files arrive.
+
+A log folder holds Parquet files of log rows (c0.., __edition, __submit, __diff).  Each micro-batch brings the
+rows of new editions; ``maintain`` runs the plan's change over them in ``foreachBatch`` and hands signed rows to
+a sink together with the batch id, which the sink stores with them: a batch that runs again after a failure is
+recognised and changes nothing.  Plans that are monotone may also be run as plain append queries (``append``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans import ir
+from ..plans.check import classify
+from ..plans.delta import Interval
+from ..plans.find import Snapshot
+from ..sources.store import META, TraceStore
+from ..types import Schema
+
+
+def log_stream(spark: SparkSession, path: str, schema: Schema, files_per_batch: int = 100) -> DataFrame:
+    """A stream of the log rows that are written to a folder."""
+    fields = schema.spark()
+    for m in META:
+        fields = fields.add(m, "long")
+    return spark.readStream.schema(fields).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+class DeltaTable:
+    """Signed rows of a maintained view in a folder per batch; a batch writes its folder once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, change: DataFrame, batch: int) -> None:
+        change.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")  # again gives the same folder
+
+    def rows(self) -> DataFrame:
+        """The view's rows: the sum of all changes."""
+        df = self.spark.read.parquet(self.path).drop("batch")
+        cols = [c for c in df.columns if c != "__diff"]
+        return df.groupBy(*cols).agg(F.sum("__diff").alias("__diff")).where("__diff <> 0")
+
+
+def maintain(log: DataFrame, rel: str, path: str, schema: Schema, plan: ir.Plan, sink: DeltaTable, checkpoint: str, names: list[str] | None = None, others: TraceStore | None = None) -> StreamingQuery:
+    """Keep sink equal to plan while rows of rel arrive; other relations come from a store that stands still.
+
+    The state before a batch is read from the log folder itself, up to the last edition before the batch's first,
+    so that nothing but the stream's offset has to be kept.
+    """
+    spark = log.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        ends = rows.agg(F.min("__edition").alias("lo"), F.max("__edition").alias("hi")).first()
+        if ends["lo"] is None:
+            return
+        store = TraceStore(spark) if others is None else others.fork_at(others.current)
+        trace = spark.read.schema(rows.schema).parquet(path).where(F.col("__edition") <= ends["hi"])
+        store.bulk(rel, trace, schema, 0, ends["hi"], positive=False)
+        store.relations[rel].touched = list(range(ends["lo"], ends["hi"] + 1))
+        sink.write(Interval(store, ends["lo"] - 1, ends["hi"]).delta(plan, names), number)
+
+    return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append(log: DataFrame, rel: str, schema: Schema, plan: ir.Plan, names: list[str] | None = None) -> DataFrame:
+    """A monotone, stateless plan (filters, maps, projections, unions) over asserted rows as a streaming DataFrame."""
+    if not classify(plan).monotone or any(isinstance(n, (ir.Distinct, ir.Join, ir.Iterate)) for n in ir.walk(plan)):
+        raise ValueError("only filters, maps, projections and unions run as a plain append query")
+    store = TraceStore(log.sparkSession)
+    store.bulk(rel, log, schema, 0, 1 << 40, positive=True)
+    from ..plans.find import evaluate
+
+    w = evaluate(plan, Snapshot(store, 1 << 40))
+    return w.df.select(*[F.col(c).alias(n) for c, n in zip(w.cols, names or w.cols, strict=True)], F.col("__w").alias("__diff"))
+
+
+class Pump:
+    """foreachBatch deliveries into a driver-side receiver that remembers the last batch it took."""
+
+    def __init__(self, take: Callable[[list[Any]], None]):
+        self.take, self.last = take, -1
+
+    def __call__(self, rows: DataFrame, number: int) -> None:
+        if number <= self.last:
+            return
+        self.take([tuple(r) for r in rows.orderBy(*rows.columns).toLocalIterator()])
+        self.last = number
