@@ -301,7 +301,7 @@ class Model:
             unknown = i < 0
         return np.array(ids, np.int32).tobytes()
 
-    def learn(self, words: set[str], most: int = 150_000) -> None:
+    def learn(self, words: set[str], most: int = 300_000) -> None:
         """Encode words that the cache doesn't hold; the cache has two generations of ``most`` words."""
         if len(self.cache) > most:
             self.old, self.cache = self.cache, {}
@@ -394,7 +394,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", decoded: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shared.value)
         for b in batches:
-            for part in C.slices(b, text_col, 1 << 20):
+            for part in C.slices(b, text_col, 1 << 22):
                 blobs = m.encode(part.column(text_col).to_pylist())
                 sizes = np.fromiter((len(x) // 4 for x in blobs), np.int64, len(blobs))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
