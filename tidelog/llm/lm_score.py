@@ -183,6 +183,7 @@ def score(docs: DataFrame, target: DataFrame, text_col: str = "text", size: int
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    target = C.written(docs.join(good, "doc_id", "left_semi").select("text"), "target")
+    # labels grow with the corpus: always a merge join, never a broadcast that turns into one at some size
+    target = C.written(docs.join(good.hint("merge"), "doc_id", "left_semi").select("text"), "target")
     rounded = [F.round(k, 5).alias(k) for k in ("target_loss", "background_loss", "ced")]
     return score(docs, target).select("doc_id", "n_words", *rounded)
