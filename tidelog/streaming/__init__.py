@@ -62,7 +62,6 @@ def maintain(log: DataFrame, rel: str, path: str, schema: Schema, plan: ir.Plan,
         store = TraceStore(spark) if others is None else others.fork_at(others.current)
         trace = spark.read.schema(rows.schema).parquet(path).where(F.col("__edition") <= ends["hi"])
         store.bulk(rel, trace, schema, 0, ends["hi"], positive=False)
-        store.relations[rel].touched = list(range(ends["lo"], ends["hi"] + 1))
         sink.write(Interval(store, ends["lo"] - 1, ends["hi"]).delta(plan, names), number)
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -72,11 +71,11 @@ def append(log: DataFrame, rel: str, schema: Schema, plan: ir.Plan, names: list[
     """A monotone, stateless plan (filters, maps, projections, unions) over asserted rows as a streaming DataFrame."""
     if not classify(plan).monotone or any(isinstance(n, (ir.Distinct, ir.Join, ir.Iterate)) for n in ir.walk(plan)):
         raise ValueError("only filters, maps, projections and unions run as a plain append query")
-    store = TraceStore(log.sparkSession)
-    store.bulk(rel, log, schema, 0, 1 << 40, positive=True)
-    from ..plans.find import evaluate
+    from ..plans.find import W, Weighted, evaluate
 
-    w = evaluate(plan, Snapshot(store, 1 << 40))
+    cells = [f"c{i}" for i in range(len(schema))]
+    rows = Weighted(log.select(*cells, F.col("__diff").alias(W)), schema.types)
+    w = evaluate(plan, Snapshot(TraceStore(log.sparkSession), 0, {rel: rows}))
     return w.df.select(*[F.col(c).alias(n) for c, n in zip(w.cols, names or w.cols, strict=True)], F.col("__w").alias("__diff"))
 
 
