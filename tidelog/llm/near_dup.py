@@ -219,7 +219,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(edges)
     # members of one bucket that aren't connected yet: every pair of them, exactly
     open_ = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    open_ = C.written(open_, "open")
     torn = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     # pairs of buckets: members that agree on one band by a passage alone seldom agree on two, near copies do
     # (of pairs at the threshold 997 in 1000 share two of 16 bands, where 999.8 share one)
@@ -227,13 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
     rest = C.written(rest.select("id", "label", F.explode(twos).alias("key")), "torn")
     torn = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = C.written(rest.join(torn, "key"), "torn")
+    rest = rest.join(torn, "key")
     x, y = rest.alias("x"), rest.alias("y")
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = more.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     late = C.written(linked(more), "links")
     if not late.isEmpty():
-        labels = connected_components(edges.union(late))
+        labels = connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(late))
 
     classes = heads.select("c1", "c2", "id").join(labels, "id", "left").select("c1", "c2", F.coalesce("label", "id").alias("label"))
     out = named.select("id", "c1", "c2").join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("label").alias("class_id"))
