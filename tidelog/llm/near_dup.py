@@ -9,8 +9,9 @@
    with the probability of their weighted Jaccard similarity.
 3. Exact copies are represented by their smallest id.  ``bands`` bands of ``rows`` samples deal representatives
    to buckets.  Each bucket's hub (the member with most band collisions) is compared with the other members, so
-   a group of near copies of any size costs a pair per member; then members of two common buckets that aren't
-   yet connected are compared with each other, so no link between different texts is lost.
+   a group of near copies of any size costs a pair per member.  Members of one bucket that aren't connected then
+   are compared all with each other if it is small, and else with members drawn anew in each round until a round
+   finds no link: work stays linear in the members, however large a group is.
 4. Pairs that agree on enough samples are verified by exact weighted Jaccard similarity on their whole texts,
    and connected components of verified pairs are the classes.
 
@@ -21,6 +22,7 @@ has one shingle of all its words; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,7 @@ BUCKETS = 1 << BITS
 # Inverse frequencies lie between 1 and 1 + SPREAD.  The shingles of a text with many near copies are frequent
 # because of the copies; at full spread a few changed words would outweigh them and large groups would fall apart.
 SPREAD = 0.25
+SMALL = 24
 KEY = _U(44)  # bits of a shingle's key within a document
 
 
@@ -217,21 +220,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges = C.written(linked(stars), "links")
     labels = connected_components(edges)
-    # members of one bucket that aren't connected yet: every pair of them, exactly
-    open_ = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    torn = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    # pairs of buckets: members that agree on one band by a passage alone seldom agree on two, near copies do
-    # (of pairs at the threshold 997 in 1000 share two of 16 bands, where 999.8 share one)
-    rest = open_.join(torn, "key").groupBy("id", "label").agg(F.sort_array(F.collect_list("key")).alias("keys")).where("size(keys) > 1")
-    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    rest = C.written(rest.select("id", "label", F.explode(twos).alias("key")), "torn")
-    torn = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = rest.join(torn, "key")
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = more.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    late = C.written(linked(more), "links")
-    if not late.isEmpty():
+    # members of one bucket that aren't connected yet: all of them with each other in buckets of up to SMALL, with
+    # a member drawn anew in each round in larger ones, until a round finds no link
+    for turn in itertools.count(1):
+        open_ = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+        torn = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        rest = C.written(open_.join(torn, "key"), "torn")
+        large = rest.where(F.col("n") > SMALL)
+        drawn = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "label")).alias("h"))
+        pairs = large.join(drawn, "key").where("label <> h.label").select("id", F.col("h.id").alias("other"))
+        if turn == 1:
+            x, y = (rest.where(F.col("n") <= SMALL).alias(k) for k in "xy")
+            pairs = pairs.union(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select("x.id", "y.id"))
+        late = C.written(linked(pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()), "links")
+        if late.isEmpty():
+            break
         labels = connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(late))
 
     classes = heads.select("c1", "c2", "id").join(labels, "id", "left").select("c1", "c2", F.coalesce("label", "id").alias("label"))
