@@ -218,6 +218,30 @@ def test_hot_passages_are_not_copies(spark):
     assert all(x["class_id"] == x["doc_id"] for x in near_dup.near_duplicates(df).collect())
 
 
+def test_links_inside_a_large_family_equal_brute_force(spark):
+    r = random.Random(11)
+    page, rows = prose(r, 150), []
+    for k in range(40):  # pages of one template; of each pair, half of the own words are shared
+        half = prose(r, 9)
+        rows += [f"{page} {half} {prose(r, 11)}" for _ in range(2)] + [f"{page} {prose(r, 20)}"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    idf, sides = near_dup.inverse_frequencies(df), []
+    for t in rows:
+        _, keys, times = near_dup._keys([t], 5)
+        sides.append((keys, idf[near_dup.bucket_of(keys)].astype(float) * (1 + np.log(times))))
+    label = list(range(len(rows)))
+    for i, (ka, wa) in enumerate(sides):
+        for j, (kb, wb) in enumerate(sides[:i]):
+            _, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+            common = np.minimum(wa[x], wb[y]).sum()
+            if common >= 0.8 * (wa.sum() + wb.sum() - common):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if v == hi else v for v in label]
+    assert 40 < len(set(label)) < len(rows)
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(rows))] == label
+
+
 # --------------------------------------------------------------------------- classifier and language models
 
 

@@ -11,7 +11,8 @@
    to buckets.  Each bucket's hub (the member with most band collisions) is compared with the other members, so
    a group of near copies of any size costs a pair per member.  Members of one bucket that aren't connected then
    are compared all with each other if it is small, and else with members drawn anew in each round until a round
-   finds no link: work stays linear in the members, however large a group is.
+   finds no link.  What is still unconnected in large buckets is compared all with each other by its samples, in
+   blocks of about ``BLOCK`` members by ``BLOCK``: the square of a bucket's members, where the draws didn't join them.
 4. Pairs that agree on enough samples are verified by exact weighted Jaccard similarity on their whole texts,
    and connected components of verified pairs are the classes.
 
@@ -26,6 +27,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,7 @@ BUCKETS = 1 << BITS
 # because of the copies; at full spread a few changed words would outweigh them and large groups would fall apart.
 SPREAD = 0.25
 SMALL = 24
+BLOCK = 512
 KEY = _U(44)  # bits of a shingle's key within a document
 
 
@@ -165,6 +168,21 @@ def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(ok)) for k in ("a", "b")], names=["a", "b"])
 
 
+def _block(pdf: pd.DataFrame, least: int, ratio: float) -> pd.DataFrame:
+    """Pairs of different labels between the two sides of a block (or within its only side) that agree on least samples."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
+    ids, labels, total, salt = (pdf[k].to_numpy() for k in ("id", "label", "total", "salt"))
+    lo, hi = (np.flatnonzero(salt == k) for k in (salt.min(), salt.max()))
+    if pdf["x"].iloc[0] != pdf["y"].iloc[0] and salt.min() == salt.max():
+        hi = hi[:0]  # the other side is empty
+    made = [np.zeros((0, 2), np.int64)]
+    for i in lo:
+        j = hi[(labels[hi] != labels[i]) & (np.minimum(total[hi], total[i]) >= ratio * np.maximum(total[hi], total[i]))]
+        j = j[(sig[j] == sig[i]).sum(1) >= least]
+        made.append(np.stack([np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])], 1))
+    return pd.DataFrame(np.concatenate(made), columns=["a", "b"]).drop_duplicates()
+
+
 def _verify(shingle: int, idf, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = idf.value
@@ -208,20 +226,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = C.written(texts, "texts")
     least = int(round(bands * rows * (threshold - 0.24)))  # five deviations below the threshold
 
+    ratio = threshold - 1e-6
+    sig = heads.select("id", "total", "sig")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose weighted Jaccard similarity reaches the threshold."""
-        sig = heads.select("id", "total", "sig")
         pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("total").alias("ta"), F.col("sig").alias("sig_a")), "a")
         pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("total").alias("tb"), F.col("sig").alias("sig_b")), "b")
-        pairs = pairs.where(F.least("ta", "tb") >= (threshold - 1e-6) * F.greatest("ta", "tb")).select("a", "b", "sig_a", "sig_b")
-        pairs = C.written(pairs.mapInArrow(lambda it: _agree(it, least), "a long, b long"), "pairs")
+        pairs = pairs.where(F.least("ta", "tb") >= ratio * F.greatest("ta", "tb")).select("a", "b", "sig_a", "sig_b")
+        return verified(C.written(pairs.mapInArrow(lambda it: _agree(it, least), "a long, b long"), "pairs"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return pairs.mapInArrow(_verify(shingle, idf, threshold), "a long, b long")
 
+    def blocks(large: DataFrame) -> DataFrame:
+        """All pairs of different labels within a bucket that agree on enough samples."""
+        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = large.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(0)), F.col("parts")).cast("int"))
+        dealt = dealt.join(sig, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("key", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "salt", "id", "label", "total", "sig")
+        return dealt.groupBy("key", "x", "y").applyInPandas(lambda pdf: _block(pdf, least, ratio), "a long, b long").distinct()
+
+    def merged(labels: DataFrame, late: DataFrame) -> DataFrame:
+        return connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(late))
+
     edges = C.written(linked(stars), "links")
     labels = connected_components(edges)
     # members of one bucket that aren't connected yet: all of them with each other in buckets of up to SMALL, with
-    # a member drawn anew in each round in larger ones, until a round finds no link
+    # a member drawn anew in each round in larger ones, until a round finds no link; then all of those too
     for turn in itertools.count(1):
         open_ = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
         torn = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
@@ -235,7 +268,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         late = C.written(linked(pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()), "links")
         if late.isEmpty():
             break
-        labels = connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(late))
+        labels = merged(labels, late)
+    # draws can miss a link: what is left of large buckets is compared whole
+    if not large.isEmpty():
+        late = C.written(verified(C.written(blocks(large), "pairs")), "links")
+        if not late.isEmpty():
+            labels = merged(labels, late)
 
     classes = heads.select("c1", "c2", "id").join(labels, "id", "left").select("c1", "c2", F.coalesce("label", "id").alias("label"))
     out = named.select("id", "c1", "c2").join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("label").alias("class_id"))
