@@ -93,6 +93,13 @@ def test_surrogates_keep_type_and_coreference():
     assert pii.rewrite(TEXT, b"other", {})[0] != new and pii.rewrite("no data. 12 and 3.5", b"k", {}) == ("no data. 12 and 3.5", 0)
 
 
+def test_names_after_punctuation_are_found():
+    for text in ("seen (Anna Smith) there", 'said "John Smith".', "by:Anna Smith", "<b>Anna Smith</b>", "\u2014Иван Петров"):
+        new, n = pii.rewrite(text, b"k", {})
+        assert n == 2 and not any(w in new for w in ("Anna", "John", "Smith", "Иван", "Петров"))
+    assert pii.rewrite("Annabel Smith, x_Anna Smith", b"k", {})[1] == 0
+
+
 def test_collisions_are_settled(spark):
     values = [f"{a}{b}@m.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
     df = spark.createDataFrame([(i, v, None) for i, v in enumerate(values)] + [(1000, None, None), (1001, "", None)], "doc_id long, text string, n_entities string")

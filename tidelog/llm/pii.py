@@ -44,6 +44,7 @@ TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+)?|[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?|[Α-ΩΆΈ-Ώ][α-ωά-ώ]+)"
 _TITLE = re.compile(r"\b(" + "|".join(sorted(map(re.escape, TITLE_GENDER), key=len, reverse=True)) + r")\.? (" + _NAME + r"(?: " + _NAME + r"){0,2})(?!\w)")
 _FULL = re.compile(r"(?<!\w)(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r") (" + _NAME + r"(?: " + _NAME + r")?)(?!\w)")
+_WORD = re.compile(r"\w+")  # each given name that _FULL matches is such a run
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _EMAIL = re.compile(r"[\w%+\-][\w.%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _NUMBERS = re.compile(
@@ -91,7 +92,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     people = []
     if any(t in text for t in TITLE_GENDER):
         people += [(m.start(2), m[2].split(" "), TITLE_GENDER[m[1]]) for m in _TITLE.finditer(text)]
-    if not GENDER.keys().isdisjoint(text.split()):
+    if not GENDER.keys().isdisjoint(_WORD.findall(text)):
         people += [(m.start(1), [m[1], *m[2].split(" ")], GENDER[m[1]]) for m in _FULL.finditer(text)]
     known: dict[str, tuple[str, str]] = {}
     for start, parts, gender in people:
