@@ -100,6 +100,23 @@ def test_names_after_punctuation_are_found():
     assert pii.rewrite("Annabel Smith, x_Anna Smith", b"k", {})[1] == 0
 
 
+def test_account_numbers_with_groups_of_letters():
+    for iban in ("NL91 ABNA 0417 1643 00", "GB29 NWBK 6016 1331 9268 19", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "SC18 SSCB 1101 0000 0000 0000 1497 USD"):
+        for text in (f"pay {iban}, now", f"({iban})", f"x {iban} PLEASE"):
+            assert [(text[a:b], k) for a, b, k, _ in pii.find(text)] == [(iban, "iban")]
+            assert not any(g in pii.rewrite(text, b"k", {})[0] for g in iban.split() if len(g) == 4)
+    assert [x[2:] for x in pii.find("BE68 5390 0754 7034 EUR")] == [("iban", "BE68539007547034")]
+    assert pii.find("AB12 CODE NAME LIST OPEN") == []
+
+
+def test_number_windows_equal_whole_texts():
+    r, tokens = random.Random(3), ["GB29", "NWBK", "6016", "1331", "19", "AB", "ABCD,", "+1", "(743)", "555-3824", "4539", "1488", "word", "10.1.2.3", "123-45-6789", "X", "AbCD", "(NL91ABNA", "0417"]
+    for _ in range(3000):
+        text = "".join(r.choice(tokens) + r.choice([" ", " ", " ", " ", "  ", "\n"]) for _ in range(14))
+        inside = [m.span() for w in pii._DIGITS.finditer(text) for m in pii._NUMBERS.finditer(text, w.start(), w.end())]
+        assert inside == [m.span() for m in pii._NUMBERS.finditer(text)]
+
+
 def test_collisions_are_settled(spark):
     values = [f"{a}{b}@m.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
     df = spark.createDataFrame([(i, v, None) for i, v in enumerate(values)] + [(1000, None, None), (1001, "", None)], "doc_id long, text string, n_entities string")

@@ -60,7 +60,21 @@ _KEY = re.compile(r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
 _HINT = re.compile("[0-9@]|AKIA")  # every entity but names holds one
 
 
-_DIGITS = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*(?: [^\s0-9]*[0-9]\S*)*")  # where _NUMBERS can match
+# where _NUMBERS can match: tokens with a digit, and after the first of them capitals (an account number's groups)
+_DIGITS = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*(?: (?:[^\s0-9]*[0-9]\S*|[A-Z]+(?!\w)\S*))*")
+_TAIL = re.compile(r" [A-Z]+$")
+
+
+def _iban(mention: str) -> str:
+    """mention less the words in capitals at its end, which belong to it only if its check digits say so."""
+    best = mention
+    while True:
+        value = best.replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+            return best
+        if not _TAIL.search(best):
+            return best
+        best = _TAIL.sub("", best)
 
 
 def script_of(word: str) -> str:
@@ -77,10 +91,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             found += [(m.start(), m.end(), "secret", m[0]) for m in _KEY.finditer(text)]
         found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text) if len(m[1]) >= 8 and re.search("[0-9]", m[1])]
         for m in (m for w in _DIGITS.finditer(text) for m in _NUMBERS.finditer(text, w.start(), w.end())):
-            kind, value = m.lastgroup, m[0]
+            kind, value, end = m.lastgroup, m[0], m.end()
             if kind == "hex":
                 kind = "secret"
             elif kind == "iban":
+                value = _iban(value)
+                end = m.start() + len(value)
                 value = value.replace(" ", "")
                 if len(value) < 15:
                     continue
@@ -88,7 +104,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 value = "+" * (value[0] == "+") + re.sub(r"\D", "", value)
                 if kind == "phone" and len(value) < 9:
                     continue
-            found.append((m.start(), m.end(), kind, value))
+            found.append((m.start(), end, kind, value))
     people = []
     if any(t in text for t in TITLE_GENDER):
         people += [(m.start(2), m[2].split(" "), TITLE_GENDER[m[1]]) for m in _TITLE.finditer(text)]
