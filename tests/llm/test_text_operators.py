@@ -324,6 +324,31 @@ def test_cross_entropy_difference_equals_brute_force(spark):
     assert all(x["ced"] == 0 for x in lm_score.score(docs, target.limit(0), size=size).collect())
 
 
+def test_all_words_count_in_cross_entropy_difference(spark):
+    r = random.Random(12)
+    rare = [f"term{i}" for i in range(2500)]  # more words than a table of 2048 holds
+    texts = [" ".join(r.sample(rare[:1250], 40)) for _ in range(60)] + [" ".join(r.sample(rare[1250:], 40)) for _ in range(60)] + ["", None, "a1 b2"]
+    docs = spark.createDataFrame([(None if i == 5 else i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
+    target = docs.where("doc_id < 60").select("text")
+    rows = [(t or "").lower().split() for t in texts]
+    near_rows = [x for i, x in enumerate(rows) if i < 60 and i != 5]
+    size = len({w for x in rows for w in x})
+
+    def model(known, total):
+        pairs, words, ahead = (Counter(k for x in known for k in f(x)) for f in (lambda x: zip([None, *x], x), lambda x: x, lambda x: [None, *x][: len(x)]))
+        scale = total / sum(words.values())
+        return lambda a, b: -np.log((pairs[a, b] * scale + 200 * (words[b] * scale + 1) / (total + size)) / (ahead[a] * scale + 200))
+
+    total = sum(map(len, near_rows))
+    near, far = model(near_rows, total), model(rows, total)
+    got = {x["text"]: x for x in lm_score.score(docs, target).collect()}
+    assert len(got) == len(texts)
+    for t, x in zip(texts, rows):
+        want = np.mean([near(a, b) - far(a, b) for a, b in zip([None, *x], x)]) if x else 0
+        assert got[t]["n_words"] == len(x) and abs(got[t]["ced"] - want) < 1e-6
+    assert all(abs(x["ced"]) < 1e-12 for x in lm_score.score(docs, target.limit(0)).collect()) and lm_score.score(docs.limit(0), target.limit(0)).collect() == []
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 

@@ -1,10 +1,11 @@
 """Cross-entropy difference (Moore and Lewis) between a target and a background bigram model.
 
 The target corpus is what the caller hands over (the query: documents labelled good and not toxic), the
-background all documents.  Both models share one vocabulary: the most frequent words of all documents, and a
-class for each kind and length of other words.  Bigram counts over it are exact and cover every document; the
-vocabulary's size bounds the tables, so that they may be broadcast.  The models are matched: of one order, with
-one smoothing (Dirichlet, towards add-one unigrams), the background's counts scaled to the target's size.
+background all documents.  Words and bigrams of both corpora are counted whole, in tables that grow with the
+corpus (64 bits identify a bigram), and documents' bigrams are joined to the table of losses.  With a ``size``, both
+models share a vocabulary of that size instead: the most frequent words of all documents, and a class for each kind
+and length of other words.  The models are matched: of one order, with one smoothing (Dirichlet, towards add-one
+unigrams), the background's counts scaled to the target's size.
 
 A document's score is the mean over its words of target loss less background loss, in nats: the lower, the more
 it is like the target.
@@ -149,13 +150,85 @@ def losses(counts: np.ndarray, total: float, mu: float = 200.0) -> np.ndarray:
     return (-np.log(p)).astype(np.float32)
 
 
-def score(docs: DataFrame, target: DataFrame, text_col: str = "text", size: int = 2048) -> DataFrame:
+def word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key of each bigram, hash of the word before or 0 at the beginning, hash of the word, first word of each text with the total appended)."""
+    h, _, first = tokens(texts)
+    before = np.zeros(len(h), _U)
+    before[1:] = h[:-1]
+    before[first[:-1][np.diff(first) > 0]] = 0
+    return C.mix(before * _U(C._BASE) + h), before, h, first
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of bigrams, summed over about a million words before they leave a task."""
+    waiting: list[tuple[np.ndarray, ...]] = []
+
+    def rows() -> pa.RecordBatch:
+        g, v, w = (np.concatenate([x[k] for x in waiting]) for k in range(3))
+        keys, at, n = np.unique(g, return_index=True, return_counts=True)
+        waiting.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (keys, v[at], w[at])), pa.array(n)], names=["g", "v", "w", "n"])
+
+    for batch in batches:
+        for b in C.slices(batch, "text"):
+            waiting.append(word_pairs([t or "" for t in b.column("text").to_pylist()])[:3])
+            if sum(len(x[0]) for x in waiting) > 1 << 20:
+                yield rows()
+    if waiting:
+        yield rows()
+
+
+def _pairs_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in C.slices(batch, "text"):
+            g, _, _, first = word_pairs([t or "" for t in b.column("text").to_pylist()])
+            row = np.repeat(b.column("row").to_numpy(), np.diff(first))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(g.view(np.int64))], names=["row", "g"])
+
+
+def pair_losses(docs: DataFrame, target: DataFrame, mu: float = 200.0) -> DataFrame:
+    """(g, near, far): losses of each bigram of either corpus in the target's and the background's model."""
+    far, near = (d.select("text").mapInArrow(_count_pairs, "g long, v long, w long, n long") for d in (docs, target))
+    zero = F.lit(0).cast("long")
+    both = far.select("g", "v", "w", zero.alias("near"), F.col("n").alias("far")).union(near.select("g", "v", "w", "n", zero))
+    sums = [F.sum("near").alias("near"), F.sum("far").alias("far")]
+    pairs = C.written(both.groupBy("g").agg(F.min("v").alias("v"), F.min("w").alias("w"), *sums), "bigrams")
+    words = pairs.groupBy("w").agg(F.sum("near").alias("wnear"), F.sum("far").alias("wfar"))
+    ahead = pairs.groupBy("v").agg(F.sum("near").alias("vnear"), F.sum("far").alias("vfar"))
+    all_ = words.agg(F.count(F.lit(1)).alias("words"), F.sum("wnear").alias("near"), F.sum("wfar").alias("far")).first()
+    known = {"near": all_["near"] or 0, "far": all_["far"] or 0}
+    total = float(known["near"] or known["far"])
+
+    def loss(side: str):
+        scale = total / known[side] if known[side] else 0.0
+        unigram = (F.col(f"w{side}") * scale + 1.0) / (total * (known[side] > 0) + all_["words"])
+        return -F.log((F.col(side) * scale + mu * unigram) / (F.col(f"v{side}") * scale + mu))
+
+    table = pairs.join(words, "w").join(ahead, "v")
+    return table.select("g", loss("near" if known["near"] else "far").alias("near"), loss("far").alias("far"))
+
+
+def score_whole(docs: DataFrame, target: DataFrame, text_col: str) -> DataFrame:
+    base = C.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    texts = base.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
+    losses_ = C.written(pair_losses(texts, target.select(F.col(text_col).alias("text"))), "losses")
+    told = texts.mapInArrow(_pairs_of_rows, "row long, g long").join(losses_.hint("shuffle_hash"), "g")
+    told = told.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.avg("near").alias("near"), F.avg("far").alias("far"))
+    out = base.join(told.withColumnRenamed("row", "_row"), "_row", "left")
+    a, b = (F.coalesce(k, F.lit(0.0)) for k in ("near", "far"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), a.alias("target_loss"), b.alias("background_loss"), (a - b).alias("ced"))
+
+
+def score(docs: DataFrame, target: DataFrame, text_col: str = "text", size: int | None = None) -> DataFrame:
     """docs with ``n_words``, ``target_loss``, ``background_loss`` (per word) and ``ced``, their difference.
 
     target holds the texts of the target corpus in a column of the same name.
+    All words count; with a size, a vocabulary of that size and classes of other words.
     """
     made = ("n_words", "target_loss", "background_loss", "ced")
     docs = C.without(docs, *made)
+    if size is None:
+        return score_whole(docs, target, text_col)
     vocab = vocabulary(docs, size, text_col)
     ahead, back = bigram_counts(target, vocab, text_col), bigram_counts(docs, vocab, text_col)
     if not ahead.sum():
