@@ -383,12 +383,24 @@ def closure_after_delete(spark, sf):
 @query("""WITH RECURSIVE direct AS (SELECT p_partkey AS e, p_type AS b FROM part WHERE p_partkey < 8), proto AS (SELECT p_partkey AS c, (p_partkey - 1) // 2 AS p FROM part WHERE p_partkey > 0 AND p_partkey < 64),
   i AS (SELECT e, b FROM direct UNION SELECT proto.c, i.b FROM i JOIN proto ON proto.p = i.e) SELECT e AS entity, b AS behavior FROM i""")
 def implements(spark, sf):
+    part = table(spark, sf, "part")
+    return _implements(spark, part.where("p_partkey < 8"), part.where("p_partkey > 0 and p_partkey < 64"))
+
+
+@query(None)
+def implements_whole(spark, sf):
+    """Every part's own behaviour and those of all parts above it; tests hold it against brute force."""
+    part = table(spark, sf, "part")
+    return _implements(spark, part, part.where("p_partkey > 0"))
+
+
+def _implements(spark, direct, below):
     from .process.dispatch import implements_plan
     from .sources.store import as_trace
 
-    store, part = TraceStore(spark), table(spark, sf, "part")
-    store.bulk("direct", as_trace(part.where("p_partkey < 8"), [("p_partkey", Ty.INT), ("p_type", Ty.TEXT)]), Schema.of(("entity", Ty.INT), ("behavior", Ty.TEXT)), unique=True)
-    proto = part.where("p_partkey > 0 and p_partkey < 64").select("p_partkey", F.floor((F.col("p_partkey") - 1) / 2).alias("parent"))
+    store = TraceStore(spark)
+    store.bulk("direct", as_trace(direct, [("p_partkey", Ty.INT), ("p_type", Ty.TEXT)]), Schema.of(("entity", Ty.INT), ("behavior", Ty.TEXT)), unique=True)
+    proto = below.select("p_partkey", F.floor((F.col("p_partkey") - 1) / 2).alias("parent"))
     store.bulk("prototype", as_trace(proto, [("p_partkey", Ty.INT), ("parent", Ty.INT)]), Schema.of(("child", Ty.INT), ("parent", Ty.INT)), unique=True)
     return _find(store, implements_plan(), ["entity", "behavior"])
 
