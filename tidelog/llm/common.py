@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and has one machine (tests), a temporary folder is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
         import tempfile
 
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-shared-"))
@@ -127,6 +129,72 @@ def summed_table(partial: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return np.concatenate([got[k][1] for k in range(PARTS)]), got[0][0]
 
 
+# --------------------------------------------------------------------------- joins
+
+HOT = 1000  # a key is hot if it holds a HOT-th of all rows: at most HOT keys are, at every size
+
+
+def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join, the same at every size: nothing that grows is broadcast because it's small yet."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row per key and the number of its rows in times.
+
+    Keys that hold a HOT-th of total rows are at most HOT; they alone are broadcast and their rows stay where
+    they are.  The others are merged; rows of keys that keyed lacks go.
+    """
+    most = max(64, total // HOT)
+    hot = F.broadcast(keyed.where(F.col(times) >= most))
+    rest = rows.join(hot.select(*on), on, "left_anti")
+    return rows.join(hot, on).unionByName(merge_join(rest, keyed.where(F.col(times) < most), on))
+
+
+# --------------------------------------------------------------------------- filters of ids
+
+MOST_BITS = 27  # a filter has at most 2^27 bits, 16 MB, however many ids it holds
+
+
+class IdFilter:
+    """A Bloom filter (two bits an id) of bounded size over the ids of a table; when it's full it passes more ids."""
+
+    def __init__(self, ids: DataFrame, id_col: str):
+        spark, n = ids.sparkSession, ids.count()
+        bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
+        h = F.xxhash64(F.col(id_col).cast("long"))
+        spot = F.explode(F.array(*[x.bitwiseAND(F.lit((1 << bits) - 1)) for x in (h, F.shiftrightunsigned(h, 32))])).alias("spot")
+        words = ids.select(spot).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("set")).toPandas()
+        table = np.zeros(1 << (bits - 6), np.int64)
+        table[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
+        self.bits, self.table = bits, spark.sparkContext.broadcast(table)
+
+    def maybe(self, id_col: str):
+        """A column: false for rows whose id surely isn't in the table.  Only hashes of ids go to Python."""
+        bits, table = self.bits, self.table
+
+        @F.pandas_udf("boolean")
+        def probe(h: pd.Series) -> pd.Series:
+            h, ok = h.to_numpy(np.int64), True
+            for x in (h, (h.view(np.uint64) >> np.uint64(32)).view(np.int64)):
+                spot = x & ((1 << bits) - 1)
+                ok = ok & ((table.value[spot >> 6] >> (spot & 63)) & 1 == 1)
+            return pd.Series(ok)
+
+        return probe(F.xxhash64(F.col(id_col).cast("long")))
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is among ids; rows that surely aren't never leave their place."""
+    return merge_join(docs.where(IdFilter(ids, id_col).maybe(id_col)), ids.select(id_col).distinct(), id_col, "left_semi")
+
+
+def rows_but(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id isn't among ids (null ids stay); rows that surely stay never leave their place."""
+    maybe = IdFilter(ids, id_col).maybe(id_col)
+    return docs.where(~maybe).unionByName(merge_join(docs.where(maybe), ids.select(id_col).distinct(), id_col, "left_anti"))
+
+
 # --------------------------------------------------------------------------- hashes of words
 
 _U = np.uint64

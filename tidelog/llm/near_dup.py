@@ -1,20 +1,23 @@
 """Near-duplicate detection by improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
-1. Document frequencies of word shingles (five words) over all documents, counted in ``BUCKETS`` hashed
-   buckets: per task an array of counts, summed by a tree of groups.  The number of documents per bucket grows
-   with their total, so the inverse frequencies behave alike at every size; the table has a fixed size.
+1. Inverse frequencies of word shingles (five words) count independent documents: a document of a family of n near
+   copies counts 1 / n, so that copies don't make their own shingles look common (they would then fall apart).  A
+   document's family is estimated by the median count of its ``MINIMA`` min-hashes over all documents.  Both counts
+   are hashed tables of fixed size, summed by a tree of groups; a bucket's mean load of unrelated entries is taken
+   off, so they tell shares of the corpus from 1 / BUCKETS up, at every size; rarer shingles weigh most, all alike.
 2. One pass makes, per document, a hash of its text and ICWS samples of its TF-IDF vector (tf as
    1 + ln tf): for a shingle of weight w and draws r, c ~ Gamma(2,1), beta ~ U(0,1) it takes t = floor(ln w / r + beta) and
    ln a = ln c - r (t - beta + 1); the smallest a of a document is its sample.  Two documents agree on a sample
-   with the probability of their weighted Jaccard similarity.
+   with the probability of their weighted Jaccard similarity.  Samples are kept as one byte each.
 3. Exact copies are represented by their smallest id.  ``bands`` bands of ``rows`` samples deal representatives
-   to buckets.  Each bucket's hub (the member with most band collisions) is compared with the other members, so
-   a group of near copies of any size costs a pair per member.  Members of one bucket that aren't connected then
-   are compared all with each other if it is small, and else with members drawn anew in each round until a round
-   finds no link.  What is still unconnected in large buckets is compared all with each other by its samples, in
-   blocks of about ``BLOCK`` members by ``BLOCK``: the square of a bucket's members, where the draws didn't join them.
+   to buckets.  A bucket's hub is the member with most collisions; each member meets the hub that it agrees with most, so
+   a group of near copies costs a pair per member.  Then members of one bucket that aren't connected yet are compared all with each other by their samples,
+   in cells of about ``CELL`` by ``CELL`` members dealt by hashes; of the members of a bucket's largest component only
+   pairs with others are compared.  First the best partner of each member in a cell is verified, then all that
+   agree: no pair is left out, but pairs that became connected meanwhile need no look.
 4. Pairs that agree on enough samples are verified by exact weighted Jaccard similarity on their whole texts,
-   and connected components of verified pairs are the classes.
+   and connected components of verified pairs are the classes.  Only texts of such pairs move (bounded filters of
+   ids keep the others in place), each once to a block of pairs.
 
 Words are case-folded runs of ASCII letters and digits and non-ASCII characters.  Defined results: equal texts are
 copies, null counting as empty, and texts without a word have no other near duplicates; rows of a null id get a null class; repeated rows of an id share its class; a text of one to four words
@@ -23,11 +26,9 @@ has one shingle of all its words; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +40,9 @@ from .components import connected_components
 _U = np.uint64
 BITS = 20
 BUCKETS = 1 << BITS
-# Inverse frequencies lie between 1 and 1 + SPREAD.  The shingles of a text with many near copies are frequent
-# because of the copies; at full spread a few changed words would outweigh them and large groups would fall apart.
-SPREAD = 0.25
-SMALL = 24
-BLOCK = 512
+MINIMA = 9
+UNIT = 1 << 16  # counts of independent documents are kept in 65536ths
+CELL = 1024
 KEY = _U(44)  # bits of a shingle's key within a document
 
 
@@ -63,25 +62,58 @@ def bucket_of(keys: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- document frequencies
 
 
-def _count(text_col: str, shingle: int):
+def _minima(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Buckets of MINIMA min-hashes for each group of keys that begins at at."""
+    odd = C.mix(np.arange(101, 101 + MINIMA, dtype=np.uint64)) | _U(1)
+    x = C.mix(keys)
+    low = np.stack([np.minimum.reduceat(C.mix(x * m), at) for m in odd], 1)
+    return (C.mix(low + odd) >> _U(64 - BITS)).astype(np.int64)
+
+
+def _less_load(counts: np.ndarray) -> np.ndarray:
+    """What a bucket holds beyond the mean load, within the noise of that load at least one."""
+    load = counts.mean()
+    return np.where(counts - load > 4 * np.sqrt(load), counts - load, 1.0) if load > 1 else np.maximum(counts, 1.0)
+
+
+def _count(text_col: str, shingle: int, family=None):
+    """Partial counts of min-hashes or, with the sizes of families, of shingles over independent documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            n += batch.num_rows
             for b in C.slices(batch, text_col):
                 doc, keys, _ = _keys([t or "" for t in b.column(text_col).to_pylist()], shingle)
-                bucket, times = np.unique(np.unique((doc << BITS) | bucket_of(keys)) & (BUCKETS - 1), return_counts=True)
-                counts[bucket] += times
-        if n:
-            yield C.partial_table(counts, n)
+                has, at, nth = np.unique(doc, return_index=True, return_inverse=True)
+                if not len(has):
+                    continue
+                spots = _minima(keys, at)
+                if family is None:
+                    spot, times = np.unique(spots, return_counts=True)
+                    counts[spot] += times
+                    n += len(has)
+                    continue
+                weight = np.maximum(1, np.rint(UNIT / np.median(family.value[spots], axis=1))).astype(np.int64)
+                n += int(weight.sum())
+                one = np.unique((doc.astype(_U) << _U(BITS)) | bucket_of(keys).astype(_U))
+                np.add.at(counts, (one & _U(BUCKETS - 1)).astype(np.int64), weight[np.searchsorted(has, (one >> _U(BITS)).astype(np.int64))])
+        yield C.partial_table(counts, n)
 
     return run
 
 
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> (KEY - _U(BITS))).astype(np.int64)
+
+
 def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> np.ndarray:
-    """1 + SPREAD ln((1 + N) / (1 + df)) / ln(1 + N) of each bucket, float32; the array has a fixed size."""
-    df, n = C.summed_table(docs.select(text_col).mapInArrow(_count(text_col, shingle), C.TABLE), BUCKETS)
-    return (1 + SPREAD * np.log((1 + n) / (1 + df)) / np.log(2 + n)).astype(np.float32) if n else np.ones(BUCKETS, np.float32)
+    """1 + ln((1 + N) / (1 + df)) of each bucket, float32, N and df in independent documents; a table of fixed size."""
+    spark, texts = docs.sparkSession, docs.select(text_col)
+    minima, _ = C.summed_table(texts.mapInArrow(_count(text_col, shingle), C.TABLE), BUCKETS)
+    family = spark.sparkContext.broadcast(_less_load(minima.astype(np.float64)).astype(np.float32))  # 4 MB at every size
+    df, n = C.summed_table(texts.mapInArrow(_count(text_col, shingle, family), C.TABLE), BUCKETS)
+    family.unpersist()
+    return (1 + np.log((1 + n / UNIT) / (1 + _less_load(df / UNIT)))).astype(np.float32)
 
 
 # --------------------------------------------------------------------------- sampling
@@ -148,6 +180,7 @@ def _sign(id_col: str, text_col: str, shingle: int, idf, bands: int, rows: int):
                     for r in range(rows):
                         key = C.mix(key + s[:, r * bands : (r + 1) * bands].astype(_U))
                     key = key.view(np.int64)
+                    s = (C.mix(s.astype(_U)) >> _U(56)).astype(np.uint8)
                     for j, d in enumerate(has.tolist()):
                         sigs[d], band[d] = s[j].tobytes(), key[j]
                 total = np.bincount(doc, weights=w, minlength=len(own))
@@ -159,46 +192,150 @@ def _sign(id_col: str, text_col: str, shingle: int, idf, bands: int, rows: int):
     return run
 
 
-def _agree(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
+def _bytes(column: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, -1)
+
+
+def _agree(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = (_bytes(b.column("sig_a"), b.num_rows) == _bytes(b.column("sig_b"), b.num_rows)).sum(1)
+                ok = pa.array(np.flatnonzero(n >= least))
+                yield pa.RecordBatch.from_arrays([b.column("a").take(ok), b.column("b").take(ok), pa.array(n.astype(np.int32)).take(ok)], names=["a", "b", "agree"])
+
+    return run
+
+
+def _whole(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], most_bytes: int, heavy: str) -> Iterator[pa.Table]:
+    """Rows that come sorted by some columns, in tables of whole groups of about most_bytes in the column heavy."""
+    held: list[pa.Table] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.column(heavy).nbytes
+        if size < most_bytes:
+            continue
+        rows = pa.concat_tables(held).combine_chunks()
+        last = np.ones(rows.num_rows, bool)
+        for k in by:
+            v = rows.column(k).to_numpy()
+            last &= v == v[-1]
+        cut = rows.num_rows - int(last.sum())
+        if cut:
+            yield rows.slice(0, cut)
+            rows = rows.slice(cut)
+        held, size = [rows], rows.column(heavy).nbytes if cut else size
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+PAIRS = "a long, b long, la long, lb long, cut boolean"
+
+
+def _pairs_in(cells: np.ndarray, sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of one cell; cells gives where each begins and the end, sides where its second slot begins."""
+    size = np.diff(cells)
+    for m in np.unique(size[size <= 24]).tolist():
+        i, j = np.triu_indices(m, 1)
+        at = cells[:-1][size == m][:, None]
+        for part in np.array_split(at, max(1, len(at) * len(i) >> 18)):
+            yield (part + i).ravel(), (part + j).ravel()
+    for lo, mid, hi in zip(cells[:-1][size > 24].tolist(), sides[size > 24].tolist(), cells[1:][size > 24].tolist(), strict=True):
+        if lo < mid:  # all of one slot with all of the other
+            step = max(1, (1 << 18) // max(1, hi - mid))
+            for a in range(lo, mid, step):
+                i = np.arange(a, min(a + step, mid))
+                yield np.repeat(i, hi - mid), np.tile(np.arange(mid, hi), len(i))
             continue
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in ("sig_a", "sig_b"))
-        ok = np.flatnonzero((x == y).sum(1) >= least)
-        yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(ok)) for k in ("a", "b")], names=["a", "b"])
-
-
-def _block(pdf: pd.DataFrame, least: int, ratio: float) -> pd.DataFrame:
-    """Pairs of different labels between the two sides of a block (or within its only side) that agree on least samples."""
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-    ids, labels, total, salt = (pdf[k].to_numpy() for k in ("id", "label", "total", "salt"))
-    lo, hi = (np.flatnonzero(salt == k) for k in (salt.min(), salt.max()))
-    if pdf["x"].iloc[0] != pdf["y"].iloc[0] and salt.min() == salt.max():
-        hi = hi[:0]  # the other side is empty
-    made = [np.zeros((0, 2), np.int64)]
-    for i in lo:
-        j = hi[(labels[hi] != labels[i]) & (np.minimum(total[hi], total[i]) >= ratio * np.maximum(total[hi], total[i]))]
-        j = j[(sig[j] == sig[i]).sum(1) >= least]
-        made.append(np.stack([np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])], 1))
-    return pd.DataFrame(np.concatenate(made), columns=["a", "b"]).drop_duplicates()
+        step = max(1, (1 << 18) // (hi - lo))
+        for a in range(lo, hi - 1, step):
+            i = np.arange(a, min(a + step, hi - 1))
+            yield np.repeat(i, hi - 1 - i), np.concatenate([np.arange(k + 1, hi) for k in i])
+
+
+def _compare(least: int, ratio: float, most: int | None):
+    """Pairs of different labels of each cell that agree on least samples, the most best ones of each member."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        key, x, y, slot, ids, label, total = (rows.column(k).to_numpy() for k in ("key", "x", "y", "slot", "id", "label", "total"))
+        sig = _bytes(rows.column("sig"), len(ids))
+        new = np.ones(len(ids), bool)
+        new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        made = [np.zeros((3, 0), np.int64)]
+        cells = np.append(np.flatnonzero(new), len(ids))
+        second = np.cumsum(np.append(0, (slot == x) & (x < y)))  # rows of a cell's first slot come first
+        for i, j in _pairs_in(cells, cells[:-1] + second[cells[1:]] - second[cells[:-1]]):
+            on = (label[i] != label[j]) & ((slot[i] != slot[j]) | (x[i] == y[i])) & (np.minimum(total[i], total[j]) >= ratio * np.maximum(total[i], total[j]))
+            i, j = i[on], j[on]
+            for a in range(0, len(i), 1 << 16):
+                p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+                n = (sig[p] == sig[q]).sum(1)
+                on = n >= least
+                made.append(np.stack([p[on], q[on], n[on]]))
+        i, j, n = np.concatenate(made, 1)
+        cut, on = np.zeros(len(i), bool), np.ones(len(i), bool)
+        if most:  # each member's best partners
+            who, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+            order = np.lexsort((ids[np.concatenate([j, i])], -n[pair], who))
+            first = np.flatnonzero(np.diff(who[order], prepend=-1))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            on[:] = False
+            on[pair[order[rank < most]]] = True
+            cut[:] = not on.all()
+        up = ids[i] > ids[j]
+        x, y = (np.where(up, p, q)[on] for p, q in ((i, j), (j, i)))
+        cols = [ids[x], ids[y], label[x], label[y]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(cut[on])], names=[c.split()[0] for c in PAIRS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, ("key", "x", "y"), 4 << 20, "sig"):
+            yield found(rows)
+
+    return run
 
 
 def _verify(shingle: int, idf, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Linked pairs of blocks: rows (x, y, a, b, text) sorted by x, y, b hold a block's texts (b null), then its pairs."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
         weight = idf.value
-        for batch in batches:
-            for b in C.slices(batch, "text_a"):
-                sides = []
-                for side in ("text_a", "text_b"):
-                    doc, keys, times = _keys([t or "" for t in b.column(side).to_pylist()], shingle)
-                    sides.append((doc, (doc.astype(_U) << KEY) | keys, weight[bucket_of(keys)].astype(np.float64) * (1 + np.log(times))))
-                (da, ka, wa), (dz, kz, wz) = sides
-                _, ia, iz = np.intersect1d(ka, kz, assume_unique=True, return_indices=True)
-                n = b.num_rows
-                common = np.bincount(da[ia], weights=np.minimum(wa[ia], wz[iz]), minlength=n)
-                union = np.bincount(da, weights=wa, minlength=n) + np.bincount(dz, weights=wz, minlength=n) - common
-                ok = np.flatnonzero((union > 0) & (common >= threshold * union - 1e-9))
-                yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(ok)) for k in ("a", "b")], names=["a", "b"])
+        x, y, a = (rows.column(k).to_numpy().astype(np.int64) for k in ("x", "y", "a"))
+        pair = rows.column("b").is_valid().to_numpy(zero_copy_only=False)
+        block = np.cumsum(np.append(False, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else x
+        b = rows.column("b").fill_null(0).to_numpy()
+        at = np.flatnonzero(~pair)
+        texts = rows.column("text").take(pa.array(at)).to_pylist()
+        place = {k: r for r, k in enumerate(zip(block[at].tolist(), a[at].tolist(), strict=True))}
+        own = block[pair].tolist()
+        left, right = (np.array([place[k] for k in zip(own, v[pair].tolist(), strict=True)], np.int64) for v in (a, b))
+        doc, keys, times = _keys([t or "" for t in texts], shingle)
+        w = weight[bucket_of(keys)].astype(np.float64) * (1 + np.log(times))
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        total = np.bincount(doc, weights=w, minlength=len(texts))
+        size = np.diff(first)
+        ok = np.zeros(len(left), bool)
+        step = np.cumsum(size[left] + size[right]) >> 21  # some two million shingles at once
+        for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(step)) + 1) if len(left) else ():
+            both = []
+            for side in (left[part], right[part]):
+                n = size[side]
+                e = np.repeat(first[side] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both.append(((np.repeat(np.arange(len(part), dtype=np.uint64), n) << KEY) | keys[e], w[e]))
+            (ka, wa), (kb, wb) = both
+            spot = np.searchsorted(kb, ka)
+            spot[spot == len(kb)] = 0
+            hit = np.flatnonzero(kb[spot] == ka) if len(kb) else np.zeros(0, np.int64)
+            common = np.bincount((ka[hit] >> KEY).astype(np.int64), weights=np.minimum(wa[hit], wb[spot[hit]]), minlength=len(part))
+            union = total[left[part]] + total[right[part]] - common
+            ok[part] = (union > 0) & (common >= threshold * union - 1e-9)
+        return pa.RecordBatch.from_arrays([pa.array(v[pair][ok]) for v in (a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, ("x", "y"), 4 << 20, "text"):
+            yield found(rows)
 
     return run
 
@@ -206,6 +343,24 @@ def _verify(shingle: int, idf, threshold: float):
 # --------------------------------------------------------------------------- operator
 
 
+def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, idf, threshold: float) -> DataFrame:
+    """The pairs (a, b) of a written table whose weighted Jaccard similarity on whole texts reaches the threshold.
+
+    Pairs are dealt to blocks by hashes of both ids; a text goes once to each block that has a pair of it, so a hub
+    of many pairs meets them in many blocks, and a dense family costs its texts once per block, not per pair.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    parts = max(1, -(-ids.count() // CELL))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    dealt = pairs.select(deal("a").alias("x"), deal("b").alias("y"), "a", "b")
+    need = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("a")).distinct()
+    texts = docs.where(C.IdFilter(ids, "id").maybe("id")).select(F.col("id").alias("a"), "text")
+    texts = C.merge_join(texts, need, "a").select("x", "y", "a", F.lit(None).cast("long").alias("b"), "text")
+    rows = texts.union(dealt.withColumn("text", F.lit(None).cast("string")))
+    rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.asc_nulls_first("b"))
+    return rows.mapInArrow(_verify(shingle, idf, threshold), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
     """(id_col, class_id) for each row of docs: the smallest id of its near-duplicate class."""
     spark = docs.sparkSession
@@ -213,72 +368,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     idf = spark.sparkContext.broadcast(inverse_frequencies(base, "text", shingle))  # 4 MB at every size
     signs = C.written(base.mapInArrow(_sign("id", "text", shingle, idf, bands, rows), "id long, c1 long, c2 long, total double, sig binary, band array<long>"), "signs")
     named = signs.where("id is not null")
-    heads = C.written(named.groupBy("c1", "c2").agg(F.min(F.struct("id", "total", "sig", "band")).alias("h")).select("c1", "c2", "h.*"), "heads")
-
-    # rows (key, id) of buckets that hold two representatives at least, with the hub of each
-    dealt = heads.select("id", F.explode("band").alias("key"))
-    full = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = C.written(dealt.join(full, "key"), "shared")
-    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    hubs = shared.join(score, "id").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("id").alias("hub"))).alias("h")).select("key", "h.hub")
-    stars = shared.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    texts = base.join(score.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    texts = C.written(texts, "texts")
+    heads = named.groupBy("c1", "c2").agg(F.min(F.struct("id", "total", "sig", "band")).alias("h"), F.count(F.lit(1)).alias("copies"))
+    heads = C.written(heads.select("c1", "c2", "copies", "h.*"), "heads")
+    count = heads.count()
     least = int(round(bands * rows * (threshold - 0.24)))  # five deviations below the threshold
-
     ratio = threshold - 1e-6
     sig = heads.select("id", "total", "sig")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs whose weighted Jaccard similarity reaches the threshold."""
-        pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("total").alias("ta"), F.col("sig").alias("sig_a")), "a")
-        pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("total").alias("tb"), F.col("sig").alias("sig_b")), "b")
-        pairs = pairs.where(F.least("ta", "tb") >= ratio * F.greatest("ta", "tb")).select("a", "b", "sig_a", "sig_b")
-        return verified(C.written(pairs.mapInArrow(lambda it: _agree(it, least), "a long, b long"), "pairs"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return pairs.mapInArrow(_verify(shingle, idf, threshold), "a long, b long")
-
-    def blocks(large: DataFrame) -> DataFrame:
-        """All pairs of different labels within a bucket that agree on enough samples."""
-        parts = F.ceil(F.col("n") / BLOCK).cast("int")
-        dealt = large.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(0)), F.col("parts")).cast("int"))
-        dealt = dealt.join(sig, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("key", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "salt", "id", "label", "total", "sig")
-        return dealt.groupBy("key", "x", "y").applyInPandas(lambda pdf: _block(pdf, least, ratio), "a long, b long").distinct()
-
-    def merged(labels: DataFrame, late: DataFrame) -> DataFrame:
-        return connected_components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(late))
-
-    edges = C.written(linked(stars), "links")
-    labels = connected_components(edges)
-    # members of one bucket that aren't connected yet: all of them with each other in buckets of up to SMALL, with
-    # a member drawn anew in each round in larger ones, until a round finds no link; then all of those too
-    for turn in itertools.count(1):
-        open_ = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-        torn = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rest = C.written(open_.join(torn, "key"), "torn")
-        large = rest.where(F.col("n") > SMALL)
-        drawn = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "label")).alias("h"))
-        pairs = large.join(drawn, "key").where("label <> h.label").select("id", F.col("h.id").alias("other"))
-        if turn == 1:
-            x, y = (rest.where(F.col("n") <= SMALL).alias(k) for k in "xy")
-            pairs = pairs.union(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select("x.id", "y.id"))
-        late = C.written(linked(pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()), "links")
+    # rows (key, id, hub) of buckets that hold two representatives at least
+    dealt = heads.select("id", F.explode("band").alias("key"))
+    full = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = C.written(C.split_join(dealt, full, ["key"], "n", count * bands), "shared")
+    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    hubs = C.merge_join(shared, score, "id").groupBy("key").agg(F.min(F.struct(-F.col("score"), "id")).alias("h"), F.count(F.lit(1)).alias("n"))
+    hubs = C.written(hubs.select("key", F.col("h.id").alias("hub"), "n"), "hubs")
+
+    # each member with the hub that it agrees with most
+    stars = C.split_join(shared.drop("n"), hubs, ["key"], "n", count * bands).where("id <> hub")
+    stars = C.written(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    centres = C.merge_join(stars.groupBy("b").agg(F.count(F.lit(1)).alias("n")), sig.select(F.col("id").alias("b"), F.col("total").alias("tb"), F.col("sig").alias("sig_b")), "b")
+    pairs = C.merge_join(stars, sig.select(F.col("id").alias("a"), F.col("total").alias("ta"), F.col("sig").alias("sig_a")), "a")
+    pairs = C.split_join(pairs, centres, ["b"], "n", stars.count()).where(F.least("ta", "tb") >= ratio * F.greatest("ta", "tb"))
+    best = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(least), "a long, b long, agree int")
+    best = best.groupBy("a").agg(F.max(F.struct("agree", -F.col("b"))).alias("h")).select("a", (-F.col("h.col2")).alias("b"))
+    tried = C.written(best, "pairs")
+    labels = connected_components(C.written(_linked(tried, base, shingle, idf, threshold), "links"))
+
+    for most in (1, None):
+        open_ = C.merge_join(shared.select("key", "id"), labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        open_ = C.written(open_, "open")
+        parts = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+        torn = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        torn = torn.select("key", "n", F.col("main.label").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / CELL).cast("int").alias("few"), F.ceil(F.col("main.m") / CELL).cast("int").alias("many"))
+        rest = C.merge_join(C.split_join(open_, torn, ["key"], "n", count * bands), sig, "id")
+        # members of the main component meet all cells of others, these meet all cells
+        ours = F.col("label") == F.col("main")
+        rest = rest.withColumn("slot", F.when(ours, F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(ours, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+        cells = rest.select("key", F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"), "slot", "id", "label", "total", "sig")
+        cells = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "slot")
+        found = C.written(cells.mapInArrow(_compare(least, ratio, most), PAIRS), "found")
+        late = found.groupBy("a", "b").agg(F.min("la").alias("la"), F.min("lb").alias("lb"))
+        late = C.written(C.merge_join(late, tried, ["a", "b"], "left_anti"), "pairs")
         if late.isEmpty():
-            break
-        labels = merged(labels, late)
-    # draws can miss a link: what is left of large buckets is compared whole
-    if not large.isEmpty():
-        late = C.written(verified(C.written(blocks(large), "pairs")), "links")
-        if not late.isEmpty():
-            labels = merged(labels, late)
-
-    classes = heads.select("c1", "c2", "id").join(labels, "id", "left").select("c1", "c2", F.coalesce("label", "id").alias("label"))
-    out = named.select("id", "c1", "c2").join(classes, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("label").alias("class_id"))
+            if found.where("cut").isEmpty():
+                break
+            continue
+        new = C.written(C.merge_join(late, _linked(late.select("a", "b"), base, shingle, idf, threshold), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+        tried = tried.union(late.select("a", "b"))
+        if not new.isEmpty():  # components of components
+            joined = connected_components(new).select(F.col("id").alias("label"), F.col("label").alias("into"))
+            fresh = C.merge_join(joined.select(F.col("label").alias("id"), F.col("into").alias("label")), labels, "id", "left_anti")
+            labels = C.merge_join(labels, joined, "label", "left").select("id", F.coalesce("into", "label").alias("label"))
+            labels = C.written(labels.union(fresh), "labels")
+
+    classes = C.merge_join(heads.select("c1", "c2", "copies", "id"), labels, "id", "left").select("c1", "c2", "copies", F.coalesce("label", "id").alias("label"))
+    out = C.split_join(named.select("id", "c1", "c2"), C.written(classes, "classes"), ["c1", "c2"], "copies", named.count())
     alone = signs.where("id is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"))
-    return out.union(alone)
+    return out.select(F.col("id").alias(id_col), F.col("label").alias("class_id")).union(alone)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -286,11 +433,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = near_duplicates(docs, id_col, text_col, **options).where(f"{id_col} is not null")
     classes = C.written(classes.groupBy(id_col).agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("times")), "classes")
     ids = docs.withColumn(id_col, F.col(id_col).cast("long"))
-    kept = ids.join(classes.where(f"{id_col} <> class_id").select(id_col), id_col, "left_anti")
-    twice = classes.where(f"times > 1 and {id_col} = class_id").select(id_col)
+    kept = C.rows_but(ids, classes.where(f"{id_col} <> class_id"), id_col)
+    twice = classes.where(f"times > 1 and {id_col} = class_id")
     if not twice.isEmpty():  # repeated rows of one id: one of them stays
-        own = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col])
-        kept = kept.join(twice, id_col, "left_anti").unionByName(own)
+        own = C.rows_of(kept, twice, id_col).dropDuplicates([id_col])
+        kept = C.rows_but(kept, twice, id_col).unionByName(own)
     return kept.select(*docs.columns)
 
 
