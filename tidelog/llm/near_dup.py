@@ -2,7 +2,7 @@
 
 1. Inverse frequencies of word shingles (five words) count independent documents: a document of a family of n near
    copies counts 1 / n, so that copies don't make their own shingles look common (they would then fall apart).  A
-   document's family is estimated by the median count of its ``MINIMA`` min-hashes over all documents.  Both counts
+   document's family is estimated by the third largest count of its ``MINIMA`` min-hashes over all documents.  Both counts
    are hashed tables of fixed size, summed by a tree of groups; a bucket's mean load of unrelated entries is taken
    off, so they tell shares of the corpus from 1 / BUCKETS up, at every size; rarer shingles weigh most, all alike.
 2. One pass makes, per document, a hash of its text and ICWS samples of its TF-IDF vector (tf as
@@ -66,7 +66,7 @@ def _minima(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Buckets of MINIMA min-hashes for each group of keys that begins at at."""
     odd = C.mix(np.arange(101, 101 + MINIMA, dtype=np.uint64)) | _U(1)
     x = C.mix(keys)
-    low = np.stack([np.minimum.reduceat(C.mix(x * m), at) for m in odd], 1)
+    low = np.stack([np.minimum.reduceat(x * m, at) for m in odd], 1)
     return (C.mix(low + odd) >> _U(64 - BITS)).astype(np.int64)
 
 
@@ -93,10 +93,11 @@ def _count(text_col: str, shingle: int, family=None):
                     counts[spot] += times
                     n += len(has)
                     continue
-                weight = np.maximum(1, np.rint(UNIT / np.median(family.value[spots], axis=1))).astype(np.int64)
+                weight = np.maximum(1, np.rint(UNIT / np.sort(family.value[spots], axis=1)[:, -3])).astype(np.int64)
                 n += int(weight.sum())
-                one = np.unique((doc.astype(_U) << _U(BITS)) | bucket_of(keys).astype(_U))
-                np.add.at(counts, (one & _U(BUCKETS - 1)).astype(np.int64), weight[np.searchsorted(has, (one >> _U(BITS)).astype(np.int64))])
+                bucket = bucket_of(keys)  # sorted within a document, as its keys are
+                one = np.append(True, (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1]))
+                np.add.at(counts, bucket[one], weight[nth[one]])
         yield C.partial_table(counts, n)
 
     return run
@@ -291,7 +292,7 @@ def _compare(least: int, ratio: float, most: int | None):
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(cut[on])], names=[c.split()[0] for c in PAIRS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole(batches, ("key", "x", "y"), 4 << 20, "sig"):
+        for rows in _whole(batches, ("key", "x", "y"), 1 << 17, "sig"):  # some two cells
             yield found(rows)
 
     return run
@@ -311,13 +312,18 @@ def _verify(shingle: int, idf, threshold: float):
         place = {k: r for r, k in enumerate(zip(block[at].tolist(), a[at].tolist(), strict=True))}
         own = block[pair].tolist()
         left, right = (np.array([place[k] for k in zip(own, v[pair].tolist(), strict=True)], np.int64) for v in (a, b))
-        doc, keys, times = _keys([t or "" for t in texts], shingle)
+        made = [(np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))]
+        texts = [t or "" for t in texts]
+        for lo, hi in C.chunks(texts):  # hashing takes some 60 bytes a character
+            d, k, n = _keys(texts[lo:hi], shingle)
+            made.append((d + lo, k, n))
+        doc, keys, times = (np.concatenate([m[i] for m in made]) for i in range(3))
         w = weight[bucket_of(keys)].astype(np.float64) * (1 + np.log(times))
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         total = np.bincount(doc, weights=w, minlength=len(texts))
         size = np.diff(first)
         ok = np.zeros(len(left), bool)
-        step = np.cumsum(size[left] + size[right]) >> 21  # some two million shingles at once
+        step = np.cumsum(size[left] + size[right]) >> 19  # some half a million shingles at once
         for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(step)) + 1) if len(left) else ():
             both = []
             for side in (left[part], right[part]):
@@ -334,7 +340,7 @@ def _verify(shingle: int, idf, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(v[pair][ok]) for v in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole(batches, ("x", "y"), 4 << 20, "text"):
+        for rows in _whole(batches, ("x", "y"), 1 << 20, "text"):
             yield found(rows)
 
     return run
