@@ -2,7 +2,8 @@
 
 The target corpus is what the caller hands over (the query: documents labelled good and not toxic), the
 background all documents.  Words and bigrams of both corpora are counted whole, in tables that grow with the
-corpus (64 bits identify a bigram), and documents' bigrams are joined to the table of losses.  With a ``size``, both
+corpus: shards of all keys (63 bits identify a word or bigram) add up what chunks of documents count, and send each
+chunk the totals of its own keys.  With a ``size``, both
 models share a vocabulary of that size instead: the most frequent words of all documents, and a class for each kind
 and length of other words.  The models are matched: of one order, with one smoothing (Dirichlet, towards add-one
 unigrams), the background's counts scaled to the target's size.
@@ -17,13 +18,17 @@ count and are scored each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common as C
 
@@ -150,85 +155,193 @@ def losses(counts: np.ndarray, total: float, mu: float = 200.0) -> np.ndarray:
     return (-np.log(p)).astype(np.float32)
 
 
-def word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key of each bigram, hash of the word before or 0 at the beginning, hash of the word, first word of each text with the total appended)."""
-    h, _, first = tokens(texts)
-    before = np.zeros(len(h), _U)
-    before[1:] = h[:-1]
-    before[first[:-1][np.diff(first) > 0]] = 0
-    return C.mix(before * _U(C._BASE) + h), before, h, first
+# --------------------------------------------------------------------------- the whole vocabulary
 
+ENTRIES = "chunk long, shard int, far boolean, keys binary, n binary, m binary, recipe binary"
+TOLD = "chunk long, shard int, words long, near long, far long, told binary"
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of bigrams, summed over about a million words before they leave a task."""
-    waiting: list[tuple[np.ndarray, ...]] = []
 
-    def rows() -> pa.RecordBatch:
-        g, v, w = (np.concatenate([x[k] for x in waiting]) for k in range(3))
-        keys, at, n = np.unique(g, return_index=True, return_counts=True)
-        waiting.clear()
-        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (keys, v[at], w[at])), pa.array(n)], names=["g", "v", "w", "n"])
+def _pack(x: np.ndarray) -> bytes:
+    """Non-negative integers in the narrowest type that holds them, compressed."""
+    for t in (np.uint8, np.uint16, np.uint32, np.uint64):
+        if not len(x) or int(x.max()) <= np.iinfo(t).max:
+            return np.dtype(t).char.encode() + zlib.compress(x.astype(t).tobytes(), 1)
+    raise AssertionError
 
-    for batch in batches:
-        for b in C.slices(batch, "text"):
-            waiting.append(word_pairs([t or "" for t in b.column("text").to_pylist()])[:3])
-            if sum(len(x[0]) for x in waiting) > 1 << 20:
-                yield rows()
-    if waiting:
-        yield rows()
 
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b[1:]), np.dtype(b[:1].decode())).astype(np.int64)
 
-def _pairs_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in C.slices(batch, "text"):
-            g, _, _, first = word_pairs([t or "" for t in b.column("text").to_pylist()])
-            row = np.repeat(b.column("row").to_numpy(), np.diff(first))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(g.view(np.int64))], names=["row", "g"])
-
-
-def pair_losses(docs: DataFrame, target: DataFrame, mu: float = 200.0) -> DataFrame:
-    """(g, near, far): losses of each bigram of either corpus in the target's and the background's model."""
-    far, near = (d.select("text").mapInArrow(_count_pairs, "g long, v long, w long, n long") for d in (docs, target))
-    zero = F.lit(0).cast("long")
-    both = far.select("g", "v", "w", zero.alias("near"), F.col("n").alias("far")).union(near.select("g", "v", "w", "n", zero))
-    sums = [F.sum("near").alias("near"), F.sum("far").alias("far")]
-    pairs = C.written(both.groupBy("g").agg(F.min("v").alias("v"), F.min("w").alias("w"), *sums), "bigrams")
-    words = pairs.groupBy("w").agg(F.sum("near").alias("wnear"), F.sum("far").alias("wfar"))
-    ahead = pairs.groupBy("v").agg(F.sum("near").alias("vnear"), F.sum("far").alias("vfar"))
-    all_ = words.agg(F.count(F.lit(1)).alias("words"), F.sum("wnear").alias("near"), F.sum("wfar").alias("far")).first()
-    known = {"near": all_["near"] or 0, "far": all_["far"] or 0}
-    total = float(known["near"] or known["far"])
-
-    def loss(side: str):
-        scale = total / known[side] if known[side] else 0.0
-        unigram = (F.col(f"w{side}") * scale + 1.0) / (total * (known[side] > 0) + all_["words"])
-        return -F.log((F.col(side) * scale + mu * unigram) / (F.col(f"v{side}") * scale + mu))
-
-    table = pairs.join(words, "w").join(ahead, "v")
-    return table.select("g", loss("near" if known["near"] else "far").alias("near"), loss("far").alias("far"))
-
-
-def score_whole(docs: DataFrame, target: DataFrame, text_col: str) -> DataFrame:
-    base = C.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    texts = base.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
-    losses_ = C.written(pair_losses(texts, target.select(F.col(text_col).alias("text"))), "losses")
-    told = texts.mapInArrow(_pairs_of_rows, "row long, g long").join(losses_.hint("shuffle_hash"), "g")
-    told = told.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.avg("near").alias("near"), F.avg("far").alias("far"))
-    out = base.join(told.withColumnRenamed("row", "_row"), "_row", "left")
-    a, b = (F.coalesce(k, F.lit(0.0)) for k in ("near", "far"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), a.alias("target_loss"), b.alias("background_loss"), (a - b).alias("ced"))
-
-
-def score(docs: DataFrame, target: DataFrame, text_col: str = "text", size: int | None = None) -> DataFrame:
+
+def _word_key(h: np.ndarray) -> np.ndarray:
+    """Keys of words are odd (and of the beginning, whose hash is 0), those of bigrams even."""
+    return C.mix(h ^ _U(0x5851F42D4C957F2D)) | _U(1)
+
+
+BEGIN = _word_key(np.zeros(1, _U))[0]
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of keys, so sorted keys are sorted by shard."""
+    return ((keys >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
+
+
+class Chunk:
+    """The words of some texts: sorted distinct keys of its words and bigrams, and where each word's keys are."""
+
+    def __init__(self, texts: list[str]):
+        parts = [tokens(texts[lo:hi])[::2] for lo, hi in C.chunks(texts)]
+        h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, _U)
+        sizes = np.concatenate([np.diff(p[1]) for p in parts]) if parts else np.zeros(0, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        begins = self.first[:-1][sizes > 0]
+        before = np.append(_U(0), h[:-1])[: len(h)]
+        before[begins] = 0
+        pairs, pair_at, pair_n = np.unique(C.mix(before * _U(C._BASE) + h) & ~_U(1), return_inverse=True, return_counts=True)
+        words, word_at, word_n = np.unique(_word_key(h), return_inverse=True, return_counts=True)
+        after = np.bincount(word_at, minlength=len(words))  # times a word stands before another
+        ends = self.first[1:][sizes > 0] - 1
+        after -= np.bincount(word_at[ends], minlength=len(words))
+        keys = np.concatenate([pairs, words, [BEGIN]])
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        self.keys = keys[order]
+        self.n = np.concatenate([pair_n, word_n, [0]])[order]
+        self.m = np.concatenate([np.zeros(len(pairs), np.int64), after, [len(begins)]])[order]
+        self.pair, self.word = place[pair_at], place[len(pairs) + word_at]
+        self.begins = begins
+
+    def entries(self, chunk: int, shards: int, far: bool) -> Iterator[dict]:
+        cuts = np.searchsorted(_shard(self.keys, shards), np.arange(shards + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            a, z = cuts[k], cuts[k + 1]
+            yield {"chunk": chunk, "shard": k, "far": far, "keys": self.keys[a:z].tobytes(), "n": _pack(self.n[a:z]), "m": _pack(self.m[a:z]), "recipe": None}
+
+    def recipe(self, rows: pa.Table) -> bytes:
+        """What the losses of the texts take, and the rows of the documents that they belong to."""
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        begin = int(np.searchsorted(self.keys, BEGIN))
+        arrays = [_pack(x) for x in (self.first, self.pair, self.word, self.begins, np.array([begin, len(self.keys)]))]
+        return pickle.dumps((zlib.compress(sink.getvalue(), 1), arrays), protocol=5)
+
+
+def _read_chunks(text_col: str, keep: list[str], shards: int, chunk_words: int, far: bool):
+    """ENTRIES of each chunk of about chunk_words words and, of the documents, its recipe."""
+    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("far", pa.bool_()), *[(k, pa.binary()) for k in ("keys", "n", "m", "recipe")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size
+            rows = pa.Table.from_batches(held)
+            made = Chunk([t or "" for t in rows.column(text_col).to_pylist()])
+            out = list(made.entries(number, shards, far))
+            if far:
+                out.append({"chunk": number, "shard": -1, "far": True, "recipe": made.recipe(rows.select(keep))})
+            for lo in range(0, len(out), 64):
+                yield pa.RecordBatch.from_pylist(out[lo : lo + 64], schema)
+            held.clear()
+            number, size = number + 1, 0
+
+        for batch in batches:
+            for b in C.slices(batch, text_col):
+                held.append(b)
+                size += b.column(text_col).nbytes
+                if size >= 6 * chunk_words:
+                    yield from told()
+        if held:
+            yield from told()
+
+    return run
+
+
+def _total(rows: pa.Table) -> pa.Table:
+    """Totals of a shard's keys in both corpora: one row of them all, and one for each chunk of the documents."""
+    keys = [np.frombuffer(x, _U) for x in rows.column("keys").to_pylist()]
+    every, where = np.unique(np.concatenate(keys), return_inverse=True)
+    cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    far = np.array(rows.column("far").to_pylist(), bool)
+    of_far = np.repeat(far, np.diff(cuts))
+    total = {}
+    for name in ("n", "m"):
+        x = np.concatenate([_unpack(v) for v in rows.column(name).to_pylist()])
+        for side, on in (("near", ~of_far), ("far", of_far)):
+            total[name, side] = np.bincount(where[on], weights=x[on], minlength=len(every)).astype(np.int64)
+    word = (every & _U(1)) == 1
+    near, all_ = (int(total["n", k][word].sum()) for k in ("near", "far"))
+    words = int((word & (total["n", "near"] + total["n", "far"] > 0)).sum())
+    shard = rows.column("shard")[0].as_py()
+    out = [{"chunk": None, "shard": shard, "words": words, "near": near, "far": all_, "told": None}]
+    for i in np.flatnonzero(far).tolist():
+        at = where[cuts[i] : cuts[i + 1]]
+        told = pickle.dumps([_pack(total[name, side][at]) for name in ("n", "m") for side in ("near", "far")], protocol=5)
+        out.append({"chunk": rows.column("chunk")[i].as_py(), "shard": shard, "words": 0, "near": 0, "far": 0, "told": told})
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.Table.from_pylist(out, pa.schema(list(zip([x.split()[0] for x in TOLD.split(", ")], kinds, strict=True))))
+
+
+def _scored(known: dict[str, int], words: int, mu: float, schema: pa.Schema):
+    def run(recipe: pa.Table, told: pa.Table) -> pa.Table:
+        rows, arrays = pickle.loads(recipe.column("recipe")[0].as_py())
+        rows = pa.ipc.open_stream(zlib.decompress(rows)).read_all()
+        first, pair, word, begins, (begin, _) = (_unpack(x) for x in arrays)
+        parts = [pickle.loads(x) for x in told.sort_by("shard").column("told").to_pylist()]
+        count = {k: np.concatenate([_unpack(p[i]) for p in parts]).astype(np.float64) for i, k in enumerate(("n near", "n far", "m near", "m far"))}
+        before = np.append(begin, word[:-1])[: len(word)]
+        before[begins] = begin
+        total = float(known["near"] or known["far"])
+        n = np.diff(first)
+        mean = []
+        for side in ("near" if known["near"] else "far", "far"):
+            scale = total / known[side] if known[side] else 0.0
+            unigram = (count[f"n {side}"][word] * scale + 1.0) / (total * (known[side] > 0) + words)
+            loss = -np.log((count[f"n {side}"][pair] * scale + mu * unigram) / (count[f"m {side}"][before] * scale + mu))
+            sums = np.zeros(len(n))
+            sums[n > 0] = np.add.reduceat(loss, begins) if len(begins) else 0.0
+            mean.append(sums / np.maximum(n, 1))
+        made = {"n_words": pa.array(n), "target_loss": pa.array(mean[0]), "background_loss": pa.array(mean[1]), "ced": pa.array(mean[0] - mean[1])}
+        for k, v in made.items():
+            rows = rows.append_column(k, v)
+        return rows.cast(schema)
+
+    return run
+
+
+def score_whole(docs: DataFrame, target: DataFrame, text_col: str, keep: list[str], mu: float = 200.0, chunk_words: int = 1 << 20) -> DataFrame:
+    """Scores with all words and bigrams: chunks of texts send their distinct keys to shards, which send totals back.
+
+    Of a chunk, each distinct word or bigram moves once each way, however often it occurs, and documents' columns
+    but once; a shard holds the counts of its range of keys, whose number grows with the documents.
+    """
+    shards = max(8, 2 * docs.rdd.getNumPartitions())
+    read = lambda d, far: d.mapInArrow(_read_chunks(text_col, keep, shards, chunk_words, far), ENTRIES)
+    chunks = C.written(read(docs, True), "chunks")
+    entries = chunks.where("shard >= 0").drop("recipe").union(read(target.select(text_col), False).drop("recipe"))
+    told = C.written(entries.groupBy("shard").applyInArrow(_total, TOLD), "told")
+    all_ = told.where("chunk is null").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("words", "near", "far")]).first()
+    schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField("n_words", T.LongType()), *[T.StructField(k, T.DoubleType()) for k in MADE[1:]]])
+    run = _scored({k: all_[k] for k in ("near", "far")}, all_["words"], mu, to_arrow_schema(schema))
+    recipes = chunks.where("shard = -1").select("chunk", "recipe")
+    return recipes.groupBy("chunk").cogroup(told.where("chunk is not null").select("chunk", "shard", "told").groupBy("chunk")).applyInArrow(run, schema)
+
+
+MADE = ("n_words", "target_loss", "background_loss", "ced")
+
+
+def score(docs: DataFrame, target: DataFrame, text_col: str = "text", size: int | None = None, with_text: bool = True, chunk_words: int = 1 << 20) -> DataFrame:
     """docs with ``n_words``, ``target_loss``, ``background_loss`` (per word) and ``ced``, their difference.
 
-    target holds the texts of the target corpus in a column of the same name.
+    target holds the texts of the target corpus in a column of the same name; without with_text they aren't returned.
     All words count; with a size, a vocabulary of that size and classes of other words.
     """
-    made = ("n_words", "target_loss", "background_loss", "ced")
+    made = MADE
     docs = C.without(docs, *made)
     if size is None:
-        return score_whole(docs, target, text_col)
+        return score_whole(docs, target, text_col, [c for c in docs.columns if with_text or c != text_col], chunk_words=chunk_words)
     vocab = vocabulary(docs, size, text_col)
     ahead, back = bigram_counts(target, vocab, text_col), bigram_counts(docs, vocab, text_col)
     if not ahead.sum():
@@ -256,7 +369,5 @@ def score(docs: DataFrame, target: DataFrame, text_col: str = "text", size: int
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    # labels grow with the corpus: always a merge join, never a broadcast that turns into one at some size
-    target = C.written(docs.join(good.hint("merge"), "doc_id", "left_semi").select("text"), "target")
     rounded = [F.round(k, 5).alias(k) for k in ("target_loss", "background_loss", "ced")]
-    return score(docs, target).select("doc_id", "n_words", *rounded)
+    return score(docs, C.rows_of(docs, good, "doc_id"), with_text=False).select("doc_id", "n_words", *rounded)
