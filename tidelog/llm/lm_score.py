@@ -2,7 +2,7 @@
 
 The target corpus is what the caller hands over (the query: documents labelled good and not toxic), the
 background all documents.  Words and bigrams of both corpora are counted whole, in tables that grow with the
-corpus: shards of all keys (63 bits identify a word or bigram) add up what chunks of documents count, and send each
+corpus: shards of all keys (55 bits identify a word or bigram) add up what chunks of documents count, and send each
 chunk the totals of its own keys.  With a ``size``, both
 models share a vocabulary of that size instead: the most frequent words of all documents, and a class for each kind
 and length of other words.  The models are matched: of one order, with one smoothing (Dirichlet, towards add-one
@@ -157,7 +157,7 @@ def losses(counts: np.ndarray, total: float, mu: float = 200.0) -> np.ndarray:
 
 # --------------------------------------------------------------------------- the whole vocabulary
 
-ENTRIES = "chunk long, shard int, far boolean, keys binary, n binary, m binary, recipe binary"
+ENTRIES = "chunk long, shard int, far boolean, keys binary, n binary, m binary"
 TOLD = "chunk long, shard int, words long, near long, far long, told binary"
 
 
@@ -173,95 +173,136 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b[1:]), np.dtype(b[:1].decode())).astype(np.int64)
 
 
-def _word_key(h: np.ndarray) -> np.ndarray:
-    """Keys of words are odd (and of the beginning, whose hash is 0), those of bigrams even."""
-    return C.mix(h ^ _U(0x5851F42D4C957F2D)) | _U(1)
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and their gaps, each in as many bytes as the widest takes."""
+    gaps = np.diff(keys)
+    wide = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return keys[:1].tobytes() + bytes([wide]) + gaps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
 
-BEGIN = _word_key(np.zeros(1, _U))[0]
+def _unpack_keys(b: bytes) -> np.ndarray:
+    wide = b[8]
+    gaps = np.zeros(((len(b) - 9) // wide, 8), np.uint8)
+    gaps[:, :wide] = np.frombuffer(b, np.uint8, offset=9).reshape(-1, wide)
+    return np.cumsum(np.concatenate([np.frombuffer(b, _U, 1), gaps.view(_U).ravel()]))
+
+
+def _key(x: np.ndarray, word: bool) -> np.ndarray:
+    """Keys have 56 bits; those of words (and of the beginning, whose hash is 0) are odd, those of bigrams even."""
+    return (C.mix(x ^ _U(0x5851F42D4C957F2D if word else 0)) >> _U(8)) & ~_U(1) | _U(word)
+
+
+BEGIN = _key(np.zeros(1, _U), True)[0]
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shards are ranges of keys, so sorted keys are sorted by shard."""
-    return ((keys >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
+    return ((keys >> _U(24)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
 class Chunk:
-    """The words of some texts: sorted distinct keys of its words and bigrams, and where each word's keys are."""
+    """Some texts as hashes of their distinct words, the number of each word, and the first word of each text."""
+
+    def __init__(self, hashes: np.ndarray, word: np.ndarray, first: np.ndarray):
+        self.hashes, self.word, self.first = hashes, word, first
 
-    def __init__(self, texts: list[str]):
+    @classmethod
+    def of(cls, texts: list[str]) -> Chunk:
         parts = [tokens(texts[lo:hi])[::2] for lo, hi in C.chunks(texts)]
-        h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, _U)
-        sizes = np.concatenate([np.diff(p[1]) for p in parts]) if parts else np.zeros(0, np.int64)
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        begins = self.first[:-1][sizes > 0]
+        h, sizes = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((_U, [p[0] for p in parts]), (np.int64, [np.diff(p[1]) for p in parts])))
+        hashes, word, times = np.unique(h, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(hashes[order], place[word], np.concatenate([[0], np.cumsum(sizes)]))
+
+    def pack(self) -> list[bytes]:
+        return [self.hashes.tobytes(), _pack(self.word), _pack(np.diff(self.first))]
+
+    @classmethod
+    def unpack(cls, packed: list[bytes]) -> Chunk:
+        return cls(np.frombuffer(packed[0], _U), _unpack(packed[1]), np.concatenate([[0], np.cumsum(_unpack(packed[2]))]))
+
+    def number(self) -> Chunk:
+        """The sorted distinct keys of words and bigrams with their counts, and where each word's keys are among them."""
+        size = np.diff(self.first)
+        self.begins, ends = self.first[:-1][size > 0], self.first[1:][size > 0] - 1
+        h = self.hashes[self.word]
         before = np.append(_U(0), h[:-1])[: len(h)]
-        before[begins] = 0
-        pairs, pair_at, pair_n = np.unique(C.mix(before * _U(C._BASE) + h) & ~_U(1), return_inverse=True, return_counts=True)
-        words, word_at, word_n = np.unique(_word_key(h), return_inverse=True, return_counts=True)
-        after = np.bincount(word_at, minlength=len(words))  # times a word stands before another
-        ends = self.first[1:][sizes > 0] - 1
-        after -= np.bincount(word_at[ends], minlength=len(words))
-        keys = np.concatenate([pairs, words, [BEGIN]])
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        self.keys = keys[order]
-        self.n = np.concatenate([pair_n, word_n, [0]])[order]
-        self.m = np.concatenate([np.zeros(len(pairs), np.int64), after, [len(begins)]])[order]
-        self.pair, self.word = place[pair_at], place[len(pairs) + word_at]
-        self.begins = begins
-
-    def entries(self, chunk: int, shards: int, far: bool) -> Iterator[dict]:
+        before[self.begins] = 0
+        pairs, pair_at, pair_n = np.unique(_key(before * _U(C._BASE) + h, False), return_inverse=True, return_counts=True)
+        words = _key(self.hashes, True)
+        word_n = np.bincount(self.word, minlength=len(words))
+        after = word_n - np.bincount(self.word[ends], minlength=len(words))  # times a word stands before another
+        every = np.concatenate([pairs, words, [BEGIN]])
+        self.keys, at = np.unique(every, return_inverse=True)  # words that share a key are one word
+        self.n = np.bincount(at, weights=np.concatenate([pair_n, word_n, [0]])).astype(np.int64)
+        self.m = np.bincount(at, weights=np.concatenate([np.zeros(len(pairs)), after, [len(self.begins)]])).astype(np.int64)
+        self.pair_key, self.word_key, self.begin = at[pair_at], at[len(pairs) : -1][self.word], int(at[-1])
+        return self
+
+    def entries(self, chunk: int, shards: int, far: bool) -> Iterator[pa.RecordBatch]:
+        """ENTRIES of this chunk, one row for each shard that it has keys of."""
         cuts = np.searchsorted(_shard(self.keys, shards), np.arange(shards + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            a, z = cuts[k], cuts[k + 1]
-            yield {"chunk": chunk, "shard": k, "far": far, "keys": self.keys[a:z].tobytes(), "n": _pack(self.n[a:z]), "m": _pack(self.m[a:z]), "recipe": None}
+        own = np.flatnonzero(np.diff(cuts)).tolist()
+        for lo in range(0, len(own), 64):
+            part = own[lo : lo + 64]
+            cols = [[f(x[cuts[k] : cuts[k + 1]]) for k in part] for f, x in ((_pack_keys, self.keys), (_pack, self.n), (_pack, self.m))]
+            arrays = [pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array([far] * len(part)), *[pa.array(c, pa.binary()) for c in cols]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ENTRIES.split(", ")])
 
-    def recipe(self, rows: pa.Table) -> bytes:
-        """What the losses of the texts take, and the rows of the documents that they belong to."""
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema) as out:
-            out.write_table(rows)
-        begin = int(np.searchsorted(self.keys, BEGIN))
-        arrays = [_pack(x) for x in (self.first, self.pair, self.word, self.begins, np.array([begin, len(self.keys)]))]
-        return pickle.dumps((zlib.compress(sink.getvalue(), 1), arrays), protocol=5)
+
+def _chunks_of(batches: Iterator[pa.RecordBatch], text_col: str, chunk_words: int) -> Iterator[tuple[Chunk, pa.Table]]:
+    held, size = [], 0
+    for batch in batches:
+        for b in C.slices(batch, text_col):
+            held.append(b)
+            size += b.column(text_col).nbytes
+            if size >= 6 * chunk_words:
+                rows = pa.Table.from_batches(held)
+                yield Chunk.of([t or "" for t in rows.column(text_col).to_pylist()]), rows
+                held, size = [], 0
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield Chunk.of([t or "" for t in rows.column(text_col).to_pylist()]), rows
 
 
-def _read_chunks(text_col: str, keep: list[str], shards: int, chunk_words: int, far: bool):
-    """ENTRIES of each chunk of about chunk_words words and, of the documents, its recipe."""
-    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("far", pa.bool_()), *[(k, pa.binary()) for k in ("keys", "n", "m", "recipe")]])
+def _pack_chunks(text_col: str, keep: list[str], chunk_words: int):
+    """(chunk, recipe) of the documents: the packed chunk and the columns to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def told() -> Iterator[pa.RecordBatch]:
-            nonlocal number, size
-            rows = pa.Table.from_batches(held)
-            made = Chunk([t or "" for t in rows.column(text_col).to_pylist()])
-            out = list(made.entries(number, shards, far))
-            if far:
-                out.append({"chunk": number, "shard": -1, "far": True, "recipe": made.recipe(rows.select(keep))})
-            for lo in range(0, len(out), 64):
-                yield pa.RecordBatch.from_pylist(out[lo : lo + 64], schema)
-            held.clear()
-            number, size = number + 1, 0
+        number = TaskContext.get().partitionId() << 32
+        for made, rows in _chunks_of(batches, text_col, chunk_words):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.select(keep).schema) as out:
+                out.write_table(rows.select(keep))
+            recipe = pickle.dumps((zlib.compress(sink.getvalue(), 1), made.pack()), protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([recipe], pa.binary())], names=["chunk", "recipe"])
+            number += 1
 
-        for batch in batches:
-            for b in C.slices(batch, text_col):
-                held.append(b)
-                size += b.column(text_col).nbytes
-                if size >= 6 * chunk_words:
-                    yield from told()
-        if held:
-            yield from told()
+    return run
+
+
+def _entries_of_chunks(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, recipe in zip(b.column("chunk").to_pylist(), b.column("recipe"), strict=True):
+                yield from Chunk.unpack(pickle.loads(recipe.as_py())[1]).number().entries(chunk, shards, True)
+
+    return run
+
+
+def _entries_of_texts(text_col: str, shards: int, chunk_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made, _ in _chunks_of(batches, text_col, chunk_words):
+            yield from made.number().entries(-1, shards, False)
 
     return run
 
 
 def _total(rows: pa.Table) -> pa.Table:
     """Totals of a shard's keys in both corpora: one row of them all, and one for each chunk of the documents."""
-    keys = [np.frombuffer(x, _U) for x in rows.column("keys").to_pylist()]
+    keys = [_unpack_keys(x) for x in rows.column("keys").to_pylist()]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
     cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     far = np.array(rows.column("far").to_pylist(), bool)
@@ -286,22 +327,23 @@ def _total(rows: pa.Table) -> pa.Table:
 
 def _scored(known: dict[str, int], words: int, mu: float, schema: pa.Schema):
     def run(recipe: pa.Table, told: pa.Table) -> pa.Table:
-        rows, arrays = pickle.loads(recipe.column("recipe")[0].as_py())
+        rows, packed = pickle.loads(recipe.column("recipe")[0].as_py())
         rows = pa.ipc.open_stream(zlib.decompress(rows)).read_all()
-        first, pair, word, begins, (begin, _) = (_unpack(x) for x in arrays)
+        own = Chunk.unpack(packed).number()
         parts = [pickle.loads(x) for x in told.sort_by("shard").column("told").to_pylist()]
         count = {k: np.concatenate([_unpack(p[i]) for p in parts]).astype(np.float64) for i, k in enumerate(("n near", "n far", "m near", "m far"))}
-        before = np.append(begin, word[:-1])[: len(word)]
-        before[begins] = begin
+        word, pair = own.word_key, own.pair_key
+        before = np.append(own.begin, word[:-1])[: len(word)]
+        before[own.begins] = own.begin
         total = float(known["near"] or known["far"])
-        n = np.diff(first)
+        n = np.diff(own.first)
         mean = []
         for side in ("near" if known["near"] else "far", "far"):
             scale = total / known[side] if known[side] else 0.0
             unigram = (count[f"n {side}"][word] * scale + 1.0) / (total * (known[side] > 0) + words)
             loss = -np.log((count[f"n {side}"][pair] * scale + mu * unigram) / (count[f"m {side}"][before] * scale + mu))
             sums = np.zeros(len(n))
-            sums[n > 0] = np.add.reduceat(loss, begins) if len(begins) else 0.0
+            sums[n > 0] = np.add.reduceat(loss, own.begins) if len(own.begins) else 0.0
             mean.append(sums / np.maximum(n, 1))
         made = {"n_words": pa.array(n), "target_loss": pa.array(mean[0]), "background_loss": pa.array(mean[1]), "ced": pa.array(mean[0] - mean[1])}
         for k, v in made.items():
@@ -314,18 +356,16 @@ def _scored(known: dict[str, int], words: int, mu: float, schema: pa.Schema):
 def score_whole(docs: DataFrame, target: DataFrame, text_col: str, keep: list[str], mu: float = 200.0, chunk_words: int = 1 << 20) -> DataFrame:
     """Scores with all words and bigrams: chunks of texts send their distinct keys to shards, which send totals back.
 
-    Of a chunk, each distinct word or bigram moves once each way, however often it occurs, and documents' columns
-    but once; a shard holds the counts of its range of keys, whose number grows with the documents.
+    Of a chunk, each distinct word or bigram moves once each way, however often it occurs, and numbers of words
+    once; a shard holds the counts of its range of keys, whose number grows with the documents.
     """
     shards = max(8, 2 * docs.rdd.getNumPartitions())
-    read = lambda d, far: d.mapInArrow(_read_chunks(text_col, keep, shards, chunk_words, far), ENTRIES)
-    chunks = C.written(read(docs, True), "chunks")
-    entries = chunks.where("shard >= 0").drop("recipe").union(read(target.select(text_col), False).drop("recipe"))
+    recipes = C.written(docs.mapInArrow(_pack_chunks(text_col, keep, chunk_words), "chunk long, recipe binary"), "chunks")
+    entries = recipes.mapInArrow(_entries_of_chunks(shards), ENTRIES).union(target.select(text_col).mapInArrow(_entries_of_texts(text_col, shards, chunk_words), ENTRIES))
     told = C.written(entries.groupBy("shard").applyInArrow(_total, TOLD), "told")
     all_ = told.where("chunk is null").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("words", "near", "far")]).first()
     schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField("n_words", T.LongType()), *[T.StructField(k, T.DoubleType()) for k in MADE[1:]]])
     run = _scored({k: all_[k] for k in ("near", "far")}, all_["words"], mu, to_arrow_schema(schema))
-    recipes = chunks.where("shard = -1").select("chunk", "recipe")
     return recipes.groupBy("chunk").cogroup(told.where("chunk is not null").select("chunk", "shard", "told").groupBy("chunk")).applyInArrow(run, schema)
 
 
