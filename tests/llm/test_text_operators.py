@@ -109,6 +109,29 @@ def test_account_numbers_with_groups_of_letters():
     assert pii.find("AB12 CODE NAME LIST OPEN") == []
 
 
+def test_country_codes_and_networks_stay():
+    for text in ("call +49 30 1234567 now", "call +33 1 23 45 67 89 now", "call +380 44 123 4567 now", "call +1 (743) 555-3824 now"):
+        new, n = pii.rewrite(text, b"k", {})
+        assert n == 1 and new != text and new.split()[1] == text.split()[1] and [c.isdigit() for c in new] == [c.isdigit() for c in text]
+    for text in ("10.1.2.3", "192.168.17.200", "172.20.1.1", "8.8.4.4", "93.184.216.34"):
+        new, n = pii.rewrite(text, b"k", {})
+        assert n == 1 and new != text and [len(x) for x in new.split(".")] == [len(x) for x in text.split(".")]
+        assert bool(pii.PRIVATE.match(new)) == bool(pii.PRIVATE.match(text)) and (not pii.PRIVATE.match(text) or new.startswith(pii.PRIVATE.match(text)[0]))
+    for text in ("2001:db8:85a3:0:0:8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "2001:DB8::1"):
+        new, n = pii.rewrite(f"at {text}, or", b"k", {})
+        assert n == 1 and text not in new and new[3:].split(":")[0] == text.split(":")[0] and new.count(":") == text.count(":")
+    assert pii.find("std::vector a::b 12:30:45 and 00:1A:2B:3C:4D:5E") == []
+    assert pii.rewrite("Wei Zhang met Priya Sharma and Oluwaseun Adeyemi", b"k", {})[1] == 6
+
+
+def test_full_spaces_settle_with_distinct_surrogates(spark):
+    taken = [f"10.0.0.{i}" for i in range(10)] + [f"192.168.1.{i}" for i in range(10)]  # ten places each of one width
+    found = pii.entities(spark.createDataFrame([(" ".join(taken),)], "text string"), b"k")
+    done = {r["value"]: r["surrogate"] for r in pii.settle(found, b"k").collect()}
+    assert len(set(done.values())) == len(done) and not set(done.values()) & set(taken)
+    assert pii.surrogate(b"k", "ssn", "123456789", pii.LAST).startswith("[ssn-") and pii.render("123-45-6789", "ssn", "[ssn-1]") == "[ssn-1]"
+
+
 def test_number_windows_equal_whole_texts():
     r, tokens = random.Random(3), ["GB29", "NWBK", "6016", "1331", "19", "AB", "ABCD,", "+1", "(743)", "555-3824", "4539", "1488", "word", "10.1.2.3", "123-45-6789", "X", "AbCD", "(NL91ABNA", "0417"]
     for _ in range(3000):

@@ -1,6 +1,6 @@
 """Personal data replaced by keyed surrogates.
 
-Entities (e-mail addresses, phone, card, social security and account numbers, IP addresses, keys and secrets,
+Entities (e-mail addresses, phone, card, social security and account numbers, IP addresses of both versions, keys and secrets,
 names) are found in whole texts.  An entity's surrogate is drawn from a keyed hash of its type and canonical
 form, so each mention of it anywhere gets the same one (coreference), written in the mention's own layout and
 letter case.  Surrogates keep type and format (length, digits, country, issuer, check digits) and, for names,
@@ -21,7 +21,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 import pyarrow as pa
@@ -36,8 +37,8 @@ from . import common as C
 # Forms of address and frequent first names, by gender.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "г-н", "господин", "κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Doña", "г-жа", "госпожа", "κυρία"], "u": ["Dr", "Prof", "Doctor", "Professor"]}
 GIVEN = {
-    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Peter Hans Klaus Wolfgang Jürgen Stefan Pierre Jacques Philippe Laurent Antoine José Juan Carlos Miguel Luis Javier Pedro Pablo Иван Сергей Алексей Дмитрий Николай Михаил Γιώργος Νίκος",
-    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Emma Anna Laura Alice Ursula Monika Petra Sabine Claudia Marie Isabelle Sophie Nathalie Camille María Carmen Ana Isabel Lucía Elena Rosa Pilar Мария Анна Ольга Елена Наталья Татьяна Μαρία Ελένη",
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Peter Hans Klaus Wolfgang Jürgen Stefan Pierre Jacques Philippe Laurent Antoine José Juan Carlos Miguel Luis Javier Pedro Pablo Иван Сергей Алексей Дмитрий Николай Михаил Γιώργος Νίκος Wei Jun Hiroshi Kenji Rahul Arjun Sanjay Amit Deepak Mohammed Muhammad Ahmed Omar Hassan Ibrahim Yusuf Mustafa Khalid Oluwaseun Chinedu Adebayo Kwame Kofi Thabo Sipho João Paulo Ricardo Giovanni Marco Luca Lars Sven Mehmet Emre Minh",
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Emma Anna Laura Alice Ursula Monika Petra Sabine Claudia Marie Isabelle Sophie Nathalie Camille María Carmen Ana Isabel Lucía Elena Rosa Pilar Мария Анна Ольга Елена Наталья Татьяна Μαρία Ελένη Yuki Sakura Priya Anjali Lakshmi Fatima Aisha Layla Zainab Ngozi Chiamaka Amina Fernanda Beatriz Giulia Francesca Ingrid Astrid Ayşe Elif Linh Mei",
 }
 GENDER = {n: g for g, names in GIVEN.items() for n in names.split()}
 TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
@@ -46,6 +47,7 @@ _TITLE = re.compile(r"\b(" + "|".join(sorted(map(re.escape, TITLE_GENDER), key=l
 _FULL = re.compile(r"(?<!\w)(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r") (" + _NAME + r"(?: " + _NAME + r")?)(?!\w)")
 _WORD = re.compile(r"\w+")  # each given name that _FULL matches is such a run
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{3})[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])")
 _EMAIL = re.compile(r"[\w%+\-][\w.%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _NUMBERS = re.compile(
     r"(?P<ip>(?<![\w.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\w|\.\d))"
@@ -87,6 +89,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if _HINT.search(text):
         if "@" in text:
             found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        if "::" in text or text.count(":") > 6:
+            found += [(m.start(), m.end(), "ip6", m[0].lower()) for m in _IP6.finditer(text)]
         if "AKIA" in text:
             found += [(m.start(), m.end(), "secret", m[0]) for m in _KEY.finditer(text)]
         found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text) if len(m[1]) >= 8 and re.search("[0-9]", m[1])]
@@ -171,9 +175,38 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+# Calling codes of one and of two digits (ITU E.164); all others have three.
+ONE_DIGIT = "17"
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_digits(digits: str) -> int:
+    """How many of the digits after a plus sign are the country's."""
+    return 1 if digits[:1] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
+
+
+PRIVATE = re.compile(r"10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|169\.254\.")
+
+
+def _address(draw: Draw, value: str, longer: int) -> str:
+    """Octets of the same widths (of any, after some collisions); private networks keep their prefix, others stay public."""
+    prefix = PRIVATE.match(value)
+    parts = value[prefix.end() if prefix else 0 :].split(".")
+    while True:
+        new = [str(1 + draw.below(254) if longer else [draw.below(9) + 1, 10 + draw.below(90), 100 + draw.below(155)][len(x) - 1]) for x in parts]
+        out = (prefix[0] if prefix else "") + ".".join(new)
+        if prefix or not (PRIVATE.match(out) or int(new[0]) > 223):
+            return out
+
+
+LAST = 60  # from this attempt on a surrogate is a token of its type, which always finds room
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The attempt-th surrogate of an entity, in canonical form; never the entity itself."""
     draw = Draw(key, kind, value, str(attempt))
+    if attempt >= LAST:
+        return f"[{kind}-{''.join(draw.of('0123456789abcdef') for _ in range(24))}]"
     while True:
         new = _surrogate(draw, kind, value, max(0, attempt - 4))
         if new != value:
@@ -190,14 +223,17 @@ def _surrogate(draw: Draw, kind: str, value: str, longer: int) -> str:
         local = "".join(_same_class(c, draw) for c in local) + "".join(_same_class("a", draw) for _ in range(longer))
         return f"{local}@{'.'.join([*fresh, labels[-1]])}"
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return _address(draw, value, longer)
+    if kind == "ip6":  # the first group tells the kind of network
+        first, colon, rest = value.partition(":")
+        return first + colon + "".join(draw.of("123456789abcdef") if c not in ":0" else c for c in rest) + ("%x" % (1 + draw.below(15))) * (longer > 0 and rest.endswith(":"))
     if kind == "card":
         body = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
         check = next(d for d in "0123456789" if luhn(body + d) == 0)
         return body + (check if luhn(value) == 0 else str((int(check) + 1 + draw.below(9)) % 10))
     if kind == "phone":
         plus, digits = ("+", value[1:]) if value[0] == "+" else ("", value)
-        keep = 1 if plus else 0
+        keep = country_digits(digits) if plus else 0
         return plus + digits[:keep] + str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in digits[keep + 1 :])
     if kind == "ssn":
         return "".join(str(draw.below(10)) for _ in value)
@@ -218,6 +254,8 @@ def _surrogate(draw: Draw, kind: str, value: str, longer: int) -> str:
 
 def render(mention: str, kind: str, new: str) -> str:
     """A surrogate in the layout and letter case of a mention."""
+    if new.startswith("["):
+        return new
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(new.lstrip("+"))
         return "".join(next(rest) if c.isalnum() else c for c in mention)
@@ -225,10 +263,12 @@ def render(mention: str, kind: str, new: str) -> str:
         return new.upper() if mention.isupper() else new
     if kind.startswith(("given", "surname")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new.capitalize()
+    if kind == "ip6":
+        return new.upper() if mention.isupper() else new
     return new
 
 
-def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
+def rewrite(text: str, key: bytes, attempts: Mapping[tuple[str, str], int]) -> tuple[str, int]:
     """(text with surrogates, number of mentions replaced)."""
     out, last, found = [], 0, find(text)
     for a, b, kind, value in found:
@@ -265,17 +305,21 @@ def _drawn(key: bytes):
     return drawn
 
 
-def settle(found: DataFrame, key: bytes, most: int = 64) -> DataFrame:
-    """The entities with surrogates that no other entity has or is."""
+def settle(found: DataFrame, key: bytes, most: int = 80) -> DataFrame:
+    """The entities with surrogates that no other entity has or is.
+
+    Where a type's space is too full for that, an entity gets a token of its type after LAST attempts.
+    """
     found = C.written(found, "entities")
-    for _ in range(most):
+    for turn in range(most):
         group = found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value")).alias("first")).where("n > 1")
         shared = found.join(group, ["kind", "surrogate"]).where("value <> first.value").select("kind", "value")
         real = found.select("kind", F.col("surrogate").alias("s"), "value").join(found.select("kind", F.col("value").alias("s")).distinct(), ["kind", "s"], "left_semi").select("kind", "value")
         again = C.written(shared.union(real).distinct().withColumn("again", F.lit(1)), "collisions")
         if again.isEmpty():
             return found
-        bumped = found.join(again, ["kind", "value"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
+        # after eight rounds attempts go up in larger steps, so that full spaces are left soon
+        bumped = found.join(again, ["kind", "value"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(F.col("again") * (1 if turn < 8 else 16), F.lit(0)))
         redrawn = bumped.where("again is not null").withColumn("surrogate", _drawn(key)("kind", "value", "attempt"))
         found = C.written(bumped.where("again is null").unionByName(redrawn).drop("again"), "entities")
     raise RuntimeError("surrogates still collide; their space is too small for the corpus")
@@ -311,7 +355,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", block_rows
                         continue
                     out, n = [], []
                     for t, note in zip(texts, notes, strict=True):
-                        attempts = shared.value | {(a, v): x for a, v, x in json.loads(note)} if note else shared.value
+                        attempts = ChainMap({(a, v): x for a, v, x in json.loads(note)}, shared.value) if note else shared.value
                         new, m = rewrite(t, key, attempts) if t else (t, 0)
                         out.append(new)
                         n.append(m)
