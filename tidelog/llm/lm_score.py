@@ -162,15 +162,16 @@ TOLD = "chunk long, shard int, words long, near long, far long, told binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Non-negative integers in the narrowest type that holds them, compressed."""
+    """Non-negative integers in the narrowest type that holds them, lowest bytes first, compressed."""
     for t in (np.uint8, np.uint16, np.uint32, np.uint64):
         if not len(x) or int(x.max()) <= np.iinfo(t).max:
-            return np.dtype(t).char.encode() + zlib.compress(x.astype(t).tobytes(), 1)
+            return np.dtype(t).char.encode() + zlib.compress(x.astype(t).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
     raise AssertionError
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b[1:]), np.dtype(b[:1].decode())).astype(np.int64)
+    t = np.dtype(b[:1].decode())
+    return np.frombuffer(zlib.decompress(b[1:]), np.uint8).reshape(t.itemsize, -1).T.copy().view(t).ravel().astype(np.int64)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
