@@ -11,10 +11,12 @@
    with the probability of their weighted Jaccard similarity.  Samples are kept as one byte each.
 3. Exact copies are represented by their smallest id.  ``bands`` bands of ``rows`` samples deal representatives
    to buckets.  A bucket's hub is the member with most collisions; each member meets the hub that it agrees with most, so
-   a group of near copies costs a pair per member.  Then members of one bucket that aren't connected yet are compared all with each other by their samples,
-   in cells of about ``CELL`` by ``CELL`` members dealt by hashes; of the members of a bucket's largest component only
-   pairs with others are compared.  First the best partner of each member in a cell is verified, then all that
-   agree: no pair is left out, but pairs that became connected meanwhile need no look.
+   a group of near copies costs a pair per member.  Then members of one bucket that aren't connected yet are compared
+   all with each other by their samples, in cells of about ``CELL`` by ``CELL`` members dealt by hashes (two members of a
+   bucket's largest component need no look).  A cell gives a forest of those that agree enough, never all pairs; its
+   components over all cells are families, whose unconnected members meet again in cells, with whole texts, and a cell
+   gives a forest of verified links.  So no link of a bucket is left out, what moves grows with members times cells, and
+   only the comparisons inside cells grow with the square of a family.
 4. Pairs that agree on enough samples are verified by exact weighted Jaccard similarity on their whole texts,
    and connected components of verified pairs are the classes.  Only texts of such pairs move (bounded filters of
    ids keep the others in place), each once to a block of pairs.
@@ -233,9 +235,6 @@ def _whole(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], most_bytes: i
         yield pa.concat_tables(held).combine_chunks()
 
 
-PAIRS = "a long, b long, la long, lb long, cut boolean"
-
-
 def _pairs_in(cells: np.ndarray, sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows of one cell; cells gives where each begins and the end, sides where its second slot begins."""
     size = np.diff(cells)
@@ -257,87 +256,129 @@ def _pairs_in(cells: np.ndarray, sides: np.ndarray) -> Iterator[tuple[np.ndarray
             yield np.repeat(i, hi - 1 - i), np.concatenate([np.arange(k + 1, hi) for k in i])
 
 
-def _compare(least: int, ratio: float, most: int | None):
-    """Pairs of different labels of each cell that agree on least samples, the most best ones of each member."""
+def _agreeing(rows: pa.Table, by: str, least: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of different labels within cells (rows come sorted by cell and slot) that agree on least samples."""
+    group, x, y, slot, label, total = (rows.column(k).to_numpy() for k in (by, "x", "y", "slot", "label", "total"))
+    sig = _bytes(rows.column("sig"), len(x))
+    new = np.ones(len(x), bool)
+    new[1:] = (group[1:] != group[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    cells = np.append(np.flatnonzero(new), len(x))
+    second = np.cumsum(np.append(0, (slot == x) & (x < y)))  # rows of a cell's first slot come first
+    for i, j in _pairs_in(cells, cells[:-1] + second[cells[1:]] - second[cells[:-1]]):
+        on = (label[i] != label[j]) & ((slot[i] != slot[j]) | (x[i] == y[i])) & (np.minimum(total[i], total[j]) >= ratio * np.maximum(total[i], total[j]))
+        i, j = i[on], j[on]
+        for a in range(0, len(i), 1 << 16):
+            p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+            on = (sig[p] == sig[q]).sum(1) >= least
+            if on.any():
+                yield p[on], q[on]
+
+
+def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest member of each one's component, with edges i, j added."""
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        for k in (i, j, root[i], root[j]):
+            np.minimum.at(new, k, low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+EDGES = "a long, b long"
 
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        key, x, y, slot, ids, label, total = (rows.column(k).to_numpy() for k in ("key", "x", "y", "slot", "id", "label", "total"))
-        sig = _bytes(rows.column("sig"), len(ids))
-        new = np.ones(len(ids), bool)
-        new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        made = [np.zeros((3, 0), np.int64)]
-        cells = np.append(np.flatnonzero(new), len(ids))
-        second = np.cumsum(np.append(0, (slot == x) & (x < y)))  # rows of a cell's first slot come first
-        for i, j in _pairs_in(cells, cells[:-1] + second[cells[1:]] - second[cells[:-1]]):
-            on = (label[i] != label[j]) & ((slot[i] != slot[j]) | (x[i] == y[i])) & (np.minimum(total[i], total[j]) >= ratio * np.maximum(total[i], total[j]))
-            i, j = i[on], j[on]
-            for a in range(0, len(i), 1 << 16):
-                p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-                n = (sig[p] == sig[q]).sum(1)
-                on = n >= least
-                made.append(np.stack([p[on], q[on], n[on]]))
-        i, j, n = np.concatenate(made, 1)
-        cut, on = np.zeros(len(i), bool), np.ones(len(i), bool)
-        if most:  # each member's best partners
-            who, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
-            order = np.lexsort((ids[np.concatenate([j, i])], -n[pair], who))
-            first = np.flatnonzero(np.diff(who[order], prepend=-1))
-            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            on[:] = False
-            on[pair[order[rank < most]]] = True
-            cut[:] = not on.all()
-        up = ids[i] > ids[j]
-        x, y = (np.where(up, p, q)[on] for p, q in ((i, j), (j, i)))
-        cols = [ids[x], ids[y], label[x], label[y]]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(cut[on])], names=[c.split()[0] for c in PAIRS.split(", ")])
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _kin(least: int, ratio: float):
+    """An edge for each member of a cell that agrees with a member of another label: a forest, not all such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(batches, ("key", "x", "y"), 1 << 17, "sig"):  # some two cells
-            yield found(rows)
+            root = np.arange(rows.num_rows)
+            for i, j in _agreeing(rows, "key", least, ratio):
+                root = _merge(root, i, j)
+            ids, at = rows.column("id").to_numpy(), np.flatnonzero(root != np.arange(len(root)))
+            yield _edges(ids[at], ids[root[at]])
 
     return run
 
 
-def _verify(shingle: int, idf, threshold: float):
-    """Linked pairs of blocks: rows (x, y, a, b, text) sorted by x, y, b hold a block's texts (b null), then its pairs."""
+class Vectors:
+    """TF-IDF vectors of some texts."""
 
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        weight = idf.value
-        x, y, a = (rows.column(k).to_numpy().astype(np.int64) for k in ("x", "y", "a"))
-        pair = rows.column("b").is_valid().to_numpy(zero_copy_only=False)
-        block = np.cumsum(np.append(False, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else x
-        b = rows.column("b").fill_null(0).to_numpy()
-        at = np.flatnonzero(~pair)
-        texts = rows.column("text").take(pa.array(at)).to_pylist()
-        place = {k: r for r, k in enumerate(zip(block[at].tolist(), a[at].tolist(), strict=True))}
-        own = block[pair].tolist()
-        left, right = (np.array([place[k] for k in zip(own, v[pair].tolist(), strict=True)], np.int64) for v in (a, b))
-        made = [(np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))]
-        texts = [t or "" for t in texts]
+    def __init__(self, texts: list, shingle: int, weight: np.ndarray):
+        texts, made = [t or "" for t in texts], [(np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))]
         for lo, hi in C.chunks(texts):  # hashing takes some 60 bytes a character
             d, k, n = _keys(texts[lo:hi], shingle)
             made.append((d + lo, k, n))
-        doc, keys, times = (np.concatenate([m[i] for m in made]) for i in range(3))
-        w = weight[bucket_of(keys)].astype(np.float64) * (1 + np.log(times))
-        first = np.searchsorted(doc, np.arange(len(texts) + 1))
-        total = np.bincount(doc, weights=w, minlength=len(texts))
-        size = np.diff(first)
+        doc, self.keys, times = (np.concatenate([m[i] for m in made]) for i in range(3))
+        self.w = weight[bucket_of(self.keys)].astype(np.float64) * (1 + np.log(times))
+        self.first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        self.total = np.bincount(doc, weights=self.w, minlength=len(texts))
+        self.size = np.diff(self.first)
+
+    def linked(self, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether the weighted Jaccard similarity of each pair reaches the threshold."""
         ok = np.zeros(len(left), bool)
-        step = np.cumsum(size[left] + size[right]) >> 19  # some half a million shingles at once
+        step = np.cumsum(self.size[left] + self.size[right]) >> 19  # some half a million shingles at once
         for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(step)) + 1) if len(left) else ():
             both = []
             for side in (left[part], right[part]):
-                n = size[side]
-                e = np.repeat(first[side] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                both.append(((np.repeat(np.arange(len(part), dtype=np.uint64), n) << KEY) | keys[e], w[e]))
+                n = self.size[side]
+                e = np.repeat(self.first[side] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both.append(((np.repeat(np.arange(len(part), dtype=np.uint64), n) << KEY) | self.keys[e], self.w[e]))
             (ka, wa), (kb, wb) = both
             spot = np.searchsorted(kb, ka)
             spot[spot == len(kb)] = 0
             hit = np.flatnonzero(kb[spot] == ka) if len(kb) else np.zeros(0, np.int64)
             common = np.bincount((ka[hit] >> KEY).astype(np.int64), weights=np.minimum(wa[hit], wb[spot[hit]]), minlength=len(part))
-            union = total[left[part]] + total[right[part]] - common
+            union = self.total[left[part]] + self.total[right[part]] - common
             ok[part] = (union > 0) & (common >= threshold * union - 1e-9)
-        return pa.RecordBatch.from_arrays([pa.array(v[pair][ok]) for v in (a, b)], names=["a", "b"])
+        return ok
+
+
+def _whole_links(least: int, ratio: float, shingle: int, idf, threshold: float):
+    """Links of members of different labels within cells, verified on whole texts: a forest of edges between labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, ("family", "x", "y"), 1 << 20, "text"):
+            vectors, label = Vectors(rows.column("text").to_pylist(), shingle, idf.value), rows.column("label").to_numpy()
+            own, number = np.unique(label, return_inverse=True)
+            root = np.arange(len(own))
+            for i, j in _agreeing(rows, "family", least, ratio):
+                for a in range(0, len(i), 1 << 12):  # pairs that became connected meanwhile need no look
+                    p, q = i[a : a + (1 << 12)], j[a : a + (1 << 12)]
+                    apart = root[number[p]] != root[number[q]]
+                    p, q = p[apart], q[apart]
+                    on = vectors.linked(p, q, threshold)
+                    if on.any():
+                        root = _merge(root, number[p[on]], number[q[on]])
+            at = np.flatnonzero(root != np.arange(len(root)))
+            yield _edges(own[at], own[root[at]])
+
+    return run
+
+
+def _verify(shingle: int, idf, threshold: float):
+    """Linked pairs of blocks: rows (x, y, a, b, text) sorted by x, y, b hold a block's texts (b null), then its pairs."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        x, y, a = (rows.column(k).to_numpy().astype(np.int64) for k in ("x", "y", "a"))
+        pair = rows.column("b").is_valid().to_numpy(zero_copy_only=False)
+        block = np.cumsum(np.append(False, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else x
+        b = rows.column("b").fill_null(0).to_numpy()
+        at = np.flatnonzero(~pair)
+        vectors = Vectors(rows.column("text").take(pa.array(at)).to_pylist(), shingle, idf.value)
+        place = {k: r for r, k in enumerate(zip(block[at].tolist(), a[at].tolist(), strict=True))}
+        own = block[pair].tolist()
+        left, right = (np.array([place[k] for k in zip(own, v[pair].tolist(), strict=True)], np.int64) for v in (a, b))
+        ok = vectors.linked(left, right, threshold)
+        return _edges(a[pair][ok], b[pair][ok])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(batches, ("x", "y"), 1 << 20, "text"):
@@ -367,6 +408,27 @@ def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, idf, threshold: flo
     return rows.mapInArrow(_verify(shingle, idf, threshold), "a long, b long")
 
 
+def _cells(members: DataFrame, by: str, total: int, size: int) -> DataFrame:
+    """Rows (by, id, label) of groups with several labels, dealt to cells (x, y) of about size by size members.
+
+    Each two members of different labels of a group meet in one cell: members have a slot of their group by a hash of
+    their id; those of the group's largest label meet all slots of others, these meet all slots.
+    """
+    parts = members.groupBy(by, "label").agg(F.count(F.lit(1)).alias("m"))
+    torn = parts.groupBy(by).agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    torn = torn.select(by, "n", F.col("main.label").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / size).cast("int").alias("few"), F.ceil(F.col("main.m") / size).cast("int").alias("many"))
+    rows, ours = C.split_join(members, torn, [by], "n", total), F.col("label") == F.col("main")
+    rows = rows.withColumn("slot", F.when(ours, F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
+    rows = rows.withColumn("meets", F.sequence(F.lit(0), F.when(ours, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1))
+    return rows.select(by, "slot", "id", "label", "meets")
+
+
+def _dealt(rows: DataFrame, by: str, *more: str) -> DataFrame:
+    """Rows of _cells with what they carry, once for each cell, whole cells in order within a task."""
+    rows = rows.withColumn("other", F.explode("meets")).select(by, F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"), "slot", "id", "label", *more)
+    return rows.repartition(by, "x", "y").sortWithinPartitions(by, "x", "y", "slot")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
     """(id_col, class_id) for each row of docs: the smallest id of its near-duplicate class."""
     spark = docs.sparkSession
@@ -397,36 +459,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = C.split_join(pairs, centres, ["b"], "n", stars.count()).where(F.least("ta", "tb") >= ratio * F.greatest("ta", "tb"))
     best = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(least), "a long, b long, agree int")
     best = best.groupBy("a").agg(F.max(F.struct("agree", -F.col("b"))).alias("h")).select("a", (-F.col("h.col2")).alias("b"))
-    tried = C.written(best, "pairs")
-    labels = connected_components(C.written(_linked(tried, base, shingle, idf, threshold), "links"))
-
-    for most in (1, None):
-        open_ = C.merge_join(shared.select("key", "id"), labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        open_ = C.written(open_, "open")
-        parts = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-        torn = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        torn = torn.select("key", "n", F.col("main.label").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / CELL).cast("int").alias("few"), F.ceil(F.col("main.m") / CELL).cast("int").alias("many"))
-        rest = C.merge_join(C.split_join(open_, torn, ["key"], "n", count * bands), sig, "id")
-        # members of the main component meet all cells of others, these meet all cells
-        ours = F.col("label") == F.col("main")
-        rest = rest.withColumn("slot", F.when(ours, F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(ours, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
-        cells = rest.select("key", F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"), "slot", "id", "label", "total", "sig")
-        cells = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "slot")
-        found = C.written(cells.mapInArrow(_compare(least, ratio, most), PAIRS), "found")
-        late = found.groupBy("a", "b").agg(F.min("la").alias("la"), F.min("lb").alias("lb"))
-        late = C.written(C.merge_join(late, tried, ["a", "b"], "left_anti"), "pairs")
-        if late.isEmpty():
-            if found.where("cut").isEmpty():
-                break
-            continue
-        new = C.written(C.merge_join(late, _linked(late.select("a", "b"), base, shingle, idf, threshold), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
-        tried = tried.union(late.select("a", "b"))
-        if not new.isEmpty():  # components of components
-            joined = connected_components(new).select(F.col("id").alias("label"), F.col("label").alias("into"))
-            fresh = C.merge_join(joined.select(F.col("label").alias("id"), F.col("into").alias("label")), labels, "id", "left_anti")
-            labels = C.merge_join(labels, joined, "label", "left").select("id", F.coalesce("into", "label").alias("label"))
-            labels = C.written(labels.union(fresh), "labels")
+    labels = connected_components(C.written(_linked(C.written(best, "pairs"), base, shingle, idf, threshold), "links"))
+
+    # members of one bucket that aren't connected yet: those that agree enough form families
+    def labelled(rows: DataFrame) -> DataFrame:
+        return C.merge_join(rows, labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    open_ = C.written(labelled(shared.select("key", "id")), "open")
+    cells = _dealt(C.merge_join(_cells(open_, "key", count * bands, CELL), sig, "id"), "key", "total", "sig")
+    kin = connected_components(C.written(cells.mapInArrow(_kin(least, ratio), EDGES).distinct(), "kin"))
+    family = C.written(labelled(kin.select("id", F.col("label").alias("family"))), "families")
+    cells = C.merge_join(_cells(family, "family", family.count(), CELL // 2), sig, "id")
+    texts = base.where(C.IdFilter(family, "id").maybe("id")).dropDuplicates(["id"])
+    cells = _dealt(C.merge_join(cells, texts, "id"), "family", "total", "sig", "text")
+    late = C.written(cells.mapInArrow(_whole_links(least, ratio, shingle, idf, threshold), EDGES).distinct(), "links")
+    if not late.isEmpty():  # components of components
+        joined = connected_components(late).select(F.col("id").alias("label"), F.col("label").alias("into"))
+        fresh = C.merge_join(joined.select(F.col("label").alias("id"), F.col("into").alias("label")), labels, "id", "left_anti")
+        labels = C.merge_join(labels, joined, "label", "left").select("id", F.coalesce("into", "label").alias("label"))
+        labels = C.written(labels.union(fresh), "labels")
 
     classes = C.merge_join(heads.select("c1", "c2", "copies", "id"), labels, "id", "left").select("c1", "c2", "copies", F.coalesce("label", "id").alias("label"))
     out = C.split_join(named.select("id", "c1", "c2"), C.written(classes, "classes"), ["c1", "c2"], "copies", named.count())
