@@ -130,12 +130,22 @@ def predicate(p: ir.Pred, w: Weighted) -> Column:
                     return F.lit(False)  # values of different kinds are never equal
                 sides.append((literal(e.value, ty), ty))
         (a, s), (b, t) = sides
+        if s is not t and Ty.ANY in (s, t):  # a cell of any kind is compared by its kind, too
+            a, b = as_any(a, s), as_any(b, t)
+            return a == b
         return a == b if s is t else F.lit(False)
     if p.columns is not None:
         return p.columns(*[F.col(c) for c in w.cols])
     return F.udf(lambda *row: bool(p.row(row)), "boolean")(*w.cols)
 
 
+def as_any(cell: Column, ty: Ty) -> Column:
+    """A cell in the encoding of columns of any kind."""
+    if ty is Ty.ANY:
+        return cell
+    return F.udf(lambda c: None if c is None else bytes(to_cell(from_cell(c, ty), Ty.ANY)), "binary")(cell)
+
+
 def evaluate(plan: ir.Plan, snap: Snapshot, recur: Weighted | None = None) -> Weighted:
     """plan at snap's edition; recur binds the recursion variable."""
     ev = lambda p: evaluate(p, snap, recur)
@@ -273,9 +283,14 @@ def aggregate(agg: ir.Agg, types: list[Ty]) -> tuple[Column, Ty]:
     if agg.kind in ("min", "max"):
         return (F.min(c) if agg.kind == "min" else F.max(c)), ty
     if ty is not Ty.INT:
-        if ty is Ty.ANY:
-            raise TypeError("a sum needs a column of type Int")
-        return F.sum(F.lit(0)).cast("long"), Ty.INT
+        if ty is not Ty.ANY:
+            return F.sum(F.lit(0)).cast("long"), Ty.INT
+
+        def whole(cell: bytes | None) -> int:
+            v = None if cell is None else from_cell(cell, Ty.ANY)
+            return v if v is not None and type_of(v) is Ty.INT else 0
+
+        c = F.udf(whole, "long")(c)
     total = F.sum(c.cast("decimal(38,0)"))
     two64 = F.lit("18446744073709551616").cast("decimal(38,0)")
     low = F.pmod(total, two64)

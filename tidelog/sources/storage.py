@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests on one machine)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
         import tempfile
 
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-"))

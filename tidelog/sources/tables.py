@@ -1,4 +1,7 @@
-"""The driver's tables as relations: registered where they lie, integers widened, everything at edition 1."""
+"""The driver's tables as relations: registered where they lie, integers widened, everything at edition 1.
+
+A null cell stays: it equals nothing, as in SQL, and its row is kept.
+"""
 
 from __future__ import annotations
 
@@ -28,8 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def add_table(store: TraceStore, sf_dir: str, name: str) -> None:
     columns, unique = TABLES[name]
-    df = table(store.spark, sf_dir, name).dropna(subset=[c for c, _ in columns])  # relations hold no nulls
-    store.bulk(name, as_trace(df, columns), Schema.of(*columns), unique=unique)
+    store.bulk(name, as_trace(table(store.spark, sf_dir, name), columns), Schema.of(*columns), unique=unique)
 
 
 def world(spark: SparkSession, sf_dir: str, *names: str) -> TraceStore:

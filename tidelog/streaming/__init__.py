@@ -1,9 +1,8 @@
 """Structured Streaming: plans maintained as log files arrive.
 
 A log folder holds Parquet files of log rows (c0.., __edition, __submit, __diff).  Each micro-batch brings the
-rows of new editions; ``maintain`` runs the plan's change over them in ``foreachBatch`` and hands signed rows to
-a sink together with the batch id, which the sink stores with them: a batch that runs again after a failure is
-recognised and changes nothing.  Plans that are monotone may also be run as plain append queries (``append``).
+change; ``maintain`` runs the plan's change over it in ``foreachBatch`` and hands signed rows to a sink together with
+the batch id, which the sink stores with them: a batch that runs again after a failure changes nothing.  Plans that are monotone may also be run as plain append queries (``append``).
 """
 
 from __future__ import annotations
@@ -47,22 +46,40 @@ class DeltaTable:
         return df.groupBy(*cols).agg(F.sum("__diff").alias("__diff")).where("__diff <> 0")
 
 
+FOLD = 16  # batches whose rows are added up into one base
+
+
+def _before(spark: SparkSession, kept: str, batch: int, schema: object) -> DataFrame:
+    """What earlier batches brought: the last base and the rows after it."""
+    last = batch // FOLD * FOLD
+    paths = ([f"{kept}/base={last}"] if last else []) + [f"{kept}/batch={k}" for k in range(last, batch)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def maintain(log: DataFrame, rel: str, path: str, schema: Schema, plan: ir.Plan, sink: DeltaTable, checkpoint: str, names: list[str] | None = None, others: TraceStore | None = None) -> StreamingQuery:
-    """Keep sink equal to plan while rows of rel arrive; other relations come from a store that stands still.
+    """Keep sink equal to plan while rows of rel arrive at path; other relations come from a store that stands still.
 
-    The state before a batch is read from the log folder itself, up to the last edition before the batch's first,
-    so that nothing but the stream's offset has to be kept.
+    A batch's own rows are the change against the rows of all batches before it, so an edition may span files and
+    batches.  Rows are kept by batch number beside the sink (a batch that runs again writes the same folders), and
+    every FOLD batches their sum is kept as a base.
     """
-    spark = log.sparkSession
+    spark, kept = log.sparkSession, f"{sink.path}.rows"
 
     def batch(rows: DataFrame, number: int) -> None:
-        ends = rows.agg(F.min("__edition").alias("lo"), F.max("__edition").alias("hi")).first()
-        if ends["lo"] is None:
-            return
+        cells = [c for c in rows.columns if c not in META]
+        now = rows.groupBy(*cells).agg(F.sum("__diff").alias("__diff")).where("__diff <> 0")
+        now.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        now = spark.read.schema(now.schema).parquet(f"{kept}/batch={number}")
+        if number and number % FOLD == 0:  # the sum of the base before and the rows since
+            old, since = number - FOLD, [f"{kept}/batch={k}" for k in range(number - FOLD, number)]
+            every = spark.read.schema(now.schema).parquet(*([f"{kept}/base={old}"] if old else []), *since)
+            every.groupBy(*cells).agg(F.sum("__diff").alias("__diff")).where("__diff <> 0").write.mode("overwrite").parquet(f"{kept}/base={number}")
         store = TraceStore(spark) if others is None else others.fork_at(others.current)
-        trace = spark.read.schema(rows.schema).parquet(path).where(F.col("__edition") <= ends["hi"])
-        store.bulk(rel, trace, schema, 0, ends["hi"], positive=False)
-        sink.write(Interval(store, ends["lo"] - 1, ends["hi"]).delta(plan, names), number)
+        first = max(1, store.current)
+        for df, e in ((_before(spark, kept, number, now.schema), first), (now, first + 1)):
+            trace = df.select(*cells, F.lit(e).cast("long").alias("__edition"), F.lit(0).cast("long").alias("__submit"), "__diff")
+            store.bulk(rel, trace, schema, e, e, positive=False)
+        sink.write(Interval(store, first, first + 1).delta(plan, names), number)
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
