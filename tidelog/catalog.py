@@ -607,3 +607,94 @@ def stream_view(spark, sf):
         log.where((F.col("__edition") > lo) & (F.col("__edition") <= hi)).write.mode("append").parquet(f"{base}/log")
         maintain(log_stream(spark, f"{base}/log", schema), "ev", f"{base}/log", schema, plan, sink, f"{base}/offsets", ["user_id", "n"]).awaitTermination()
     return sink.rows().drop("__diff")
+
+
+# ---------------------------------------------------------------- i: scalar functions, histories, branches
+
+
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS line, l_orderkey + l_partkey AS plus, l_partkey - l_orderkey AS minus, l_partkey * l_suppkey AS times,
+  l_partkey // l_suppkey AS over, l_partkey % l_suppkey AS rest, -l_partkey AS neg, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high, l_partkey::DOUBLE AS real FROM lineitem WHERE l_suppkey > 0""")
+def checked_arithmetic(spark, sf):
+    o, p, k = (F.col(c).cast("long") for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+    made = {"plus": fn.c_arithmetic("add", o, p), "minus": fn.c_arithmetic("sub", p, o), "times": fn.c_arithmetic("mul", p, k), "over": fn.c_div(p, k), "rest": fn.c_rem(p, k), "neg": fn.c_neg(p), "low": fn.c_least(p, k), "high": fn.c_greatest(p, k), "real": fn.c_float(p)}
+    return table(spark, sf, "lineitem").where("l_suppkey > 0").select(o.alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("line"), *[v.alias(n) for n, v in made.items()])
+
+
+@query("""SELECT o_orderkey, o_custkey = o_orderkey AS eq, o_custkey <> o_orderkey AS ne, o_custkey < o_orderkey AS lt, o_custkey <= o_orderkey AS le, o_custkey > o_orderkey AS gt, o_custkey >= o_orderkey AS ge,
+  o_custkey < 50 AND o_orderstatus = 'F' AS both, o_custkey < 50 OR o_orderstatus = 'F' AS either FROM orders""")
+def comparisons(spark, sf):
+    a, b, low, f = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_custkey") < 50, F.col("o_orderstatus") == "F"
+    return table(spark, sf, "orders").select("o_orderkey", *[fn.c_compare(k, a, b).alias(k) for k in ("eq", "ne", "lt", "le", "gt", "ge")], fn.c_and(low, f).alias("both"), fn.c_or(low, f).alias("either"))
+
+
+@query("SELECT p_partkey, sha256(p_name) AS digest FROM part")
+def sha256_digest(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.lower(F.hex(fn.c_sha256(F.col("p_name").cast("binary")))).alias("digest"))
+
+
+def _nations(spark, sf) -> list[tuple[int, str]]:
+    return sorted((int(r[0]), r[1]) for r in table(spark, sf, "nation").select("n_nationkey", "n_name").collect())
+
+
+@query("SELECT n_nationkey::BIGINT AS key, n_name AS name, 1::BIGINT AS diff FROM nation WHERE n_nationkey <> 3")
+def reopened_store(spark, sf):
+    """A commit per nation and one that takes a row back, folded in the middle, read by a store opened anew."""
+    import uuid
+
+    from .sources.storage import shared_dir
+
+    path = f"{shared_dir(spark)}/tidelog-store-{uuid.uuid4().hex}"
+    store = TraceStore(spark, path)
+    store.register("nation", Schema.of(("key", Ty.INT), ("name", Ty.TEXT)))
+    rows = _nations(spark, sf)
+    for r in rows:
+        store.commit([("nation", r, 1)])
+    store.consolidate(len(rows) // 2)
+    store.commit([("nation", r, -1) for r in rows if r[0] == 3])
+    return _find(TraceStore(spark, path), rel("nation"), ["key", "name"], weights=True)
+
+
+@query("SELECT 'main' AS branch, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'side', least(10, count(*))::BIGINT + 1 FROM nation UNION ALL SELECT 'twig', least(10, count(*))::BIGINT + 2 FROM nation")
+def branches(spark, sf):
+    """A branch that leaves at the tenth edition, and one that leaves that branch; each has its own rows."""
+    from .process.branches import Branches
+
+    store = TraceStore(spark)
+    store.register("nation", Schema.of(("key", Ty.INT), ("name", Ty.TEXT)))
+    for r in _nations(spark, sf):
+        store.commit([("nation", r, 1)])
+    tree = Branches(store)
+    for name, of, at in (("side", "main", min(10, store.current)), ("twig", "side", None)):
+        tree.branch(name, of, at).commit([("nation", (1000 + len(tree.stores), name), 1)])
+    assert tree.lineage("twig") == ["twig", "side", "main"]
+    return _sum_of(spark, [(b, len(s.local("nation"))) for b, s in tree.stores.items()], "branch string, n long")
+
+
+@query("""WITH RECURSIVE up AS (SELECT n_nationkey AS a, (n_nationkey - 1) // 2 AS b FROM nation WHERE n_nationkey > 0), r AS (SELECT a, b FROM up UNION SELECT r.a, up.b FROM r JOIN up ON r.b = up.a),
+  cut AS (SELECT * FROM up WHERE a <> 5), q AS (SELECT a, b FROM cut UNION SELECT q.a, cut.b FROM q JOIN cut ON q.b = cut.a)
+  SELECT a::BIGINT AS a, b::BIGINT AS b, -1::BIGINT AS diff FROM (SELECT * FROM r EXCEPT SELECT * FROM q)""")
+def delta_iterate(spark, sf):
+    """The change of a closure over a tree of nations when one edge goes."""
+    store = TraceStore(spark)
+    store.register("edge", Schema.of(("a", Ty.INT), ("b", Ty.INT)))
+    store.commit([("edge", (k, (k - 1) // 2), 1) for k, _ in _nations(spark, sf) if k > 0])
+    store.commit([("edge", (5, 2), -1)])
+    return Interval(store, 1, 2).delta(_closure(), ["a", "b"]).withColumnRenamed("__diff", "diff")
+
+
+@query("SELECT n_regionkey::BIGINT AS region, count(*)::BIGINT AS n, 1::BIGINT AS diff FROM nation GROUP BY 1")
+def polled_view(spark, sf):
+    """All changes that polls of a stream bring, added up: the fresh counts per region; a quiet poll brings nothing."""
+    from .plans.delta import DeltaStream
+    from .plans.local import consolidate
+
+    store = TraceStore(spark)
+    store.register("nation", Schema.of(("key", Ty.INT), ("region", Ty.INT)))
+    stream = DeltaStream(store, rel("nation").reduce([1], Agg("count")))
+    seen = stream.poll()
+    rows = sorted((int(r[0]), int(r[1])) for r in table(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect())
+    for part in (rows[:9], rows[9:]):
+        store.commit([("nation", r, 1) for r in part])
+        seen += stream.poll()
+        assert stream.poll() == []
+    return _sum_of(spark, [(*r, d) for r, d in consolidate(seen)], "region long, n long, diff long")

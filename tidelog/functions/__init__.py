@@ -145,6 +145,34 @@ def _raise(cond: Column, what: str, otherwise: Column) -> Column:
     return F.when(cond, F.raise_error(F.lit(what)).cast("long")).otherwise(otherwise)
 
 
+def c_arithmetic(op: str, a: Column, b: Column, ty: Ty = Ty.INT) -> Column:
+    """add, sub or mul of two columns of one kind; Spark raises where an Int overflows, a Float must stay finite."""
+    out = {"add": a + b, "sub": a - b, "mul": a * b}[op]
+    return out if ty is Ty.INT else c_finite(out)
+
+
+def c_neg(a: Column, ty: Ty = Ty.INT) -> Column:
+    return -a if ty is Ty.INT else c_finite(-a)
+
+
+def c_least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def c_greatest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def c_float(a: Column) -> Column:
+    """A Float from an Int."""
+    return a.cast("double")
+
+
+def c_compare(op: str, a: Column, b: Column) -> Column:
+    """eq, ne, lt, le, gt or ge of two columns of one kind."""
+    return {"eq": a == b, "ne": a != b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[op]
+
+
 def c_rem(a: Column, b: Column) -> Column:
     """Integer remainder; MIN % -1 overflows here, where Spark gives 0."""
     return _raise((a == F.lit(MIN)) & (b == -1), "overflow", a % b)
