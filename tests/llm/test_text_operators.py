@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidelog.llm import decontam, lm_score, near_dup, pii, quality, sentencepiece
+from tidelog.llm import common, decontam, lm_score, near_dup, pii, quality, sentencepiece
 from tidelog.llm.components import connected_components
 
 # --------------------------------------------------------------------------- sentencepiece
@@ -372,6 +372,49 @@ def test_all_words_count_in_cross_entropy_difference(spark):
     assert all(abs(x["ced"]) < 1e-12 for x in lm_score.score(docs, target.limit(0)).collect()) and lm_score.score(docs.limit(0), target.limit(0)).collect() == []
 
 
+def test_many_chunks_and_words_equal_brute_force(spark):
+    r = random.Random(21)
+    texts = [" ".join(f"w{r.randrange(40_000)}" for _ in range(250)) for _ in range(300)] + ["w1 w1 w1", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    target = docs.where("doc_id % 3 = 0").select("text")
+    rows = [(t or "").split() for t in texts]
+    assert len({w for x in rows for w in x}) > 32_000
+
+    def model(known, total, size):
+        pairs, words, ahead = (Counter(k for x in known for k in f(x)) for f in (lambda x: zip([None, *x], x), lambda x: x, lambda x: [None, *x][: len(x)]))
+        scale = total / sum(words.values())
+        return lambda a, b: -np.log((pairs[a, b] * scale + 200 * (words[b] * scale + 1) / (total + size)) / (ahead[a] * scale + 200))
+
+    near_rows = rows[::3]
+    total, size = sum(map(len, near_rows)), len({w for x in rows for w in x})
+    near, far = model(near_rows, total, size), model(rows, total, size)
+    got = {x["doc_id"]: x for x in lm_score.score(docs, target, chunk_words=2000, with_text=False).collect()}
+    assert len(got) == len(texts) and "text" not in got[0]
+    for i, x in enumerate(rows):
+        for side, f in (("target_loss", near), ("background_loss", far)):
+            assert abs(got[i][side] - (np.mean([f(a, b) for a, b in zip([None, *x], x)]) if x else 0)) < 1e-9
+
+
+def test_filters_of_ids_and_joins_of_hot_keys(spark):
+    docs = spark.createDataFrame([(i if i % 50 else None, str(i)) for i in range(4000)], "doc_id long, text string")
+    ids = docs.where("doc_id % 7 = 0").select("doc_id")
+    some = {x["doc_id"] for x in common.rows_of(docs, ids, "doc_id").collect()}
+    assert some == {i for i in range(4000) if i % 50 and i % 7 == 0}
+    rest = [x["doc_id"] for x in common.rows_but(docs, ids, "doc_id").collect()]
+    assert len(rest) == 4000 - len(some) and rest.count(None) == 80 and not some & set(rest)
+    assert common.rows_of(docs, ids.limit(0), "doc_id").count() == 0 and common.rows_but(docs, ids.limit(0), "doc_id").count() == 4000
+    rows = spark.createDataFrame([(0 if i < 500 else i, i) for i in range(1000)], "k long, v long")
+    keyed = rows.groupBy("k").count().where("k < 900")
+    assert sorted((x["k"], x["v"], x["count"]) for x in common.split_join(rows, keyed, ["k"], "count", 1000).collect()) == [(0 if i < 500 else i, i, 500 if i < 500 else 1) for i in range(900)]
+
+
+def test_very_long_items_are_found():
+    r = random.Random(5)
+    item = prose(r, 200_000)  # above 2^20 characters
+    index = decontam.Index([(1, item), (2, prose(r, 30))], 0.08, 40)
+    assert [x[:3] for x in index.leaks(["x " + item, prose(r, 50)])] == [(0, 0, 0)]
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 

@@ -88,6 +88,7 @@ class Index:
                 self.ids.append(i)
                 self.items.append(a)
         m = np.array([len(a) for a in self.items], np.int64)
+        self.ahead = 1 << max(20, int(m.max(initial=0)).bit_length())  # no diagonal is below less than that
         # the budget: rate x length, but no more than leaves the lemma a bound of one shared q-gram
         self.budget = np.maximum(0, np.minimum((m * rate).astype(np.int64), (m - q) // q)) if len(m) else m
         self.bound = m + 1 - q - q * self.budget
@@ -119,7 +120,7 @@ class Index:
             return none
         spot = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         pos, item = np.repeat(at, n), self.item[spot]
-        diagonal = pos - self.place[spot] + (1 << 20)  # never negative: items are shorter than that
+        diagonal = pos - self.place[spot] + self.ahead
         text = np.searchsorted(starts, pos, side="right") - 1
         shift = self.shift[item]
         band = diagonal >> shift
@@ -131,7 +132,7 @@ class Index:
         text, item = pair // len(self.items), pair % len(self.items)
         good = count >= self.bound[item]
         text, item, band = text[good], item[good], band[good]
-        return text, item, (band << self.shift[item]) - (1 << 20)
+        return text, item, (band << self.shift[item]) - self.ahead
 
     def align(self, item: int, windows: list[np.ndarray], band: int) -> list[tuple[int, int]]:
         """(distance, end in the window) of the whole item in each window, free at both ends of the window.
@@ -230,7 +231,9 @@ def _blocks(items: DataFrame, item_col: str, item_text: str, block_chars: int) -
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_chars: int = 40, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 4 << 20) -> DataFrame:
     """docs less those that leak an item, found as find_leaks finds them; a pass for each block, no exchange."""
-    for block in _blocks(items, item_col, item_text, block_chars):
+    for number, block in enumerate(_blocks(items, item_col, item_text, block_chars)):
+        if number:  # so that a worker holds the index of one block
+            docs = C.written(docs, "clean")
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -239,8 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, pool_rows: i
     """The co-trained models of both labels, from at most train_rows labelled and pool_rows other documents."""
     by_hash = F.xxhash64("doc_id")
     own = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), *[F.col(k).cast("int") for k in LABELS])
-    told = own.orderBy(by_hash, *LABELS).limit(train_rows).dropDuplicates(["doc_id"])
-    pool = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(1))).limit(pool_rows).distinct()
+    # rows of the smallest hashes; a bound on the hash leaves some four times as many, so that no task sorts more
+    few = lambda df, h, rows: df.where(h < F.lit(int(min(1.0, 4 * rows / max(1, df.count())) * (2.0**64 - 2048) - 2.0**63)))
+    told = few(own, by_hash, train_rows).orderBy(by_hash, *LABELS).limit(train_rows).dropDuplicates(["doc_id"])
+    all_ids, second = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null"), F.xxhash64("doc_id", F.lit(1))
+    pool = few(all_ids, second, pool_rows).orderBy(second).limit(pool_rows).distinct()
     # both samples are bounded by their parameters, so they may be broadcast
     ids = told.join(pool.withColumn("pooled", F.lit(True)), "doc_id", "full").drop("pooled")
     base = docs.select(F.col("doc_id").cast("long"), *[F.col(k).cast("string") for k in ("text", "lang", "source")])
