@@ -45,7 +45,7 @@ STAGES = [
     ("sentencepiece", token_stage),
 ]
 
-ORACLE_SQL = None  # fitting, sampling and tokenizing aren't for SQL; tests/llm holds run() against brute force
+ORACLE_SQL = None  # fitting, sampling and tokenizing aren't for SQL; tests/llm checks its rows, round trips and leaks, and its operators against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
