@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,6 +92,44 @@ def put(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+# --------------------------------------------------------------------------- workers
+
+_kept: dict[str, object] = {}
+
+
+def kept(what: str, make: Callable[[], object]):
+    """make(), kept in this worker between tasks of one operator."""
+    if what not in _kept:
+        _kept[what] = make()
+    return _kept[what]
+
+
+def _begin(keeps: str) -> None:
+    for what in [k for k in _kept if k != keeps]:
+        del _kept[what]
+
+
+def _end() -> None:
+    """Hand free memory of this worker back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
+    """df.mapInArrow(run, schema) whose workers, which outlive tasks, hold no more than what keeps names between them."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            _end()
+
+    return df.mapInArrow(lean, schema)
+
+
 # --------------------------------------------------------------------------- tables of counts
 
 TABLE = "part int, task long, n long, blob binary"

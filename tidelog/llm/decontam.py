@@ -207,7 +207,7 @@ def find_leaks(
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in LEAKS.split(", ")])
 
-        return base.mapInArrow(run, LEAKS)
+        return C.map_arrow(base, run, LEAKS)
 
     found = [search(b) for b in _blocks(items, item_col, item_text, block_chars)]
     out = found[0]
@@ -245,7 +245,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, min_cha
                     keep[[x[0] for x in (index.leaks(texts) if index.items else ())]] = False
                     yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = C.map_arrow(docs, run, docs.schema)
     return docs
 
 

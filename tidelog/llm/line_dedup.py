@@ -215,7 +215,7 @@ def line_dedup(
     """
     spark: SparkSession = docs.sparkSession
     docs = C.without(docs, "n_lines", "n_dropped", "__drop").withColumn(id_col, F.col(id_col).cast("long"))
-    keys = docs.select(id_col, text_col).mapInArrow(_emit(id_col, text_col, min_chars), "h1 long, h2 long, doc long")
+    keys = C.map_arrow(docs.select(id_col, text_col), _emit(id_col, text_col, min_chars), "h1 long, h2 long, doc long")
     seen = keys.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("__last"), F.count(F.lit(1)).alias("n"))
     seen = C.written(seen.where("first < __last").drop("__last"), "lines")
     shards = max(1, -(-seen.count() // keys_per_shard))
@@ -238,7 +238,7 @@ def line_dedup(
         schema = end if last else mid
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        docs = docs.mapInArrow(_probe(id_col, text_col, min_chars, shards, tables, last, to_arrow_schema(schema)), schema)
+        docs = C.map_arrow(docs, _probe(id_col, text_col, min_chars, shards, tables, last, to_arrow_schema(schema)), schema)
         if not last:
             docs = C.written(docs, "line-round")
     return docs

@@ -105,16 +105,12 @@ def _count(text_col: str, shingle: int, family=None):
     return run
 
 
-def bucket_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> (KEY - _U(BITS))).astype(np.int64)
-
-
 def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> np.ndarray:
     """1 + ln((1 + N) / (1 + df)) of each bucket, float32, N and df in independent documents; a table of fixed size."""
     spark, texts = docs.sparkSession, docs.select(text_col)
-    minima, _ = C.summed_table(texts.mapInArrow(_count(text_col, shingle), C.TABLE), BUCKETS)
+    minima, _ = C.summed_table(C.map_arrow(texts, _count(text_col, shingle), C.TABLE), BUCKETS)
     family = spark.sparkContext.broadcast(_less_load(minima.astype(np.float64)).astype(np.float32))  # 4 MB at every size
-    df, n = C.summed_table(texts.mapInArrow(_count(text_col, shingle, family), C.TABLE), BUCKETS)
+    df, n = C.summed_table(C.map_arrow(texts, _count(text_col, shingle, family), C.TABLE), BUCKETS)
     family.unpersist()
     return (1 + np.log((1 + n / UNIT) / (1 + _less_load(df / UNIT)))).astype(np.float32)
 
@@ -405,7 +401,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, idf, threshold: flo
     texts = C.merge_join(texts, need, "a").select("x", "y", "a", F.lit(None).cast("long").alias("b"), "text")
     rows = texts.union(dealt.withColumn("text", F.lit(None).cast("string")))
     rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.asc_nulls_first("b"))
-    return rows.mapInArrow(_verify(shingle, idf, threshold), "a long, b long")
+    return C.map_arrow(rows, _verify(shingle, idf, threshold), "a long, b long")
 
 
 def _cells(members: DataFrame, by: str, total: int, size: int) -> DataFrame:
@@ -434,7 +430,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(base, "text", shingle))  # 4 MB at every size
-    signs = C.written(base.mapInArrow(_sign("id", "text", shingle, idf, bands, rows), "id long, c1 long, c2 long, total double, sig binary, band array<long>"), "signs")
+    signs = C.written(C.map_arrow(base, _sign("id", "text", shingle, idf, bands, rows), "id long, c1 long, c2 long, total double, sig binary, band array<long>"), "signs")
     named = signs.where("id is not null")
     heads = named.groupBy("c1", "c2").agg(F.min(F.struct("id", "total", "sig", "band")).alias("h"), F.count(F.lit(1)).alias("copies"))
     heads = C.written(heads.select("c1", "c2", "copies", "h.*"), "heads")
@@ -457,7 +453,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = C.merge_join(stars.groupBy("b").agg(F.count(F.lit(1)).alias("n")), sig.select(F.col("id").alias("b"), F.col("total").alias("tb"), F.col("sig").alias("sig_b")), "b")
     pairs = C.merge_join(stars, sig.select(F.col("id").alias("a"), F.col("total").alias("ta"), F.col("sig").alias("sig_a")), "a")
     pairs = C.split_join(pairs, centres, ["b"], "n", stars.count()).where(F.least("ta", "tb") >= ratio * F.greatest("ta", "tb"))
-    best = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(least), "a long, b long, agree int")
+    best = C.map_arrow(pairs.select("a", "b", "sig_a", "sig_b"), _agree(least), "a long, b long, agree int")
     best = best.groupBy("a").agg(F.max(F.struct("agree", -F.col("b"))).alias("h")).select("a", (-F.col("h.col2")).alias("b"))
     labels = connected_components(C.written(_linked(C.written(best, "pairs"), base, shingle, idf, threshold), "links"))
 
@@ -467,12 +463,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     open_ = C.written(labelled(shared.select("key", "id")), "open")
     cells = _dealt(C.merge_join(_cells(open_, "key", count * bands, CELL), sig, "id"), "key", "total", "sig")
-    kin = connected_components(C.written(cells.mapInArrow(_kin(least, ratio), EDGES).distinct(), "kin"))
+    kin = connected_components(C.written(C.map_arrow(cells, _kin(least, ratio), EDGES).distinct(), "kin"))
     family = C.written(labelled(kin.select("id", F.col("label").alias("family"))), "families")
     cells = C.merge_join(_cells(family, "family", family.count(), CELL // 2), sig, "id")
     texts = base.where(C.IdFilter(family, "id").maybe("id")).dropDuplicates(["id"])
     cells = _dealt(C.merge_join(cells, texts, "id"), "family", "total", "sig", "text")
-    late = C.written(cells.mapInArrow(_whole_links(least, ratio, shingle, idf, threshold), EDGES).distinct(), "links")
+    late = C.written(C.map_arrow(cells, _whole_links(least, ratio, shingle, idf, threshold), EDGES).distinct(), "links")
     if not late.isEmpty():  # components of components
         joined = connected_components(late).select(F.col("id").alias("label"), F.col("label").alias("into"))
         fresh = C.merge_join(joined.select(F.col("label").alias("id"), F.col("into").alias("label")), labels, "id", "left_anti")

@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, pool_rows: i
     # both samples are bounded by their parameters, so they may be broadcast
     ids = told.join(pool.withColumn("pooled", F.lit(True)), "doc_id", "full").drop("pooled")
     base = docs.select(F.col("doc_id").cast("long"), *[F.col(k).cast("string") for k in ("text", "lang", "source")])
-    rows = base.join(F.broadcast(ids), "doc_id").mapInArrow(_sample_features, "doc_id long, quality int, toxic int, text binary, meta binary")
+    rows = C.map_arrow(base.join(F.broadcast(ids), "doc_id"), _sample_features, "doc_id long, quality int, toxic int, text binary, meta binary")
     got = rows.toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
     out = {}
     data = []
@@ -294,7 +294,7 @@ def score(docs: DataFrame, models: dict[str, CoTrained], threshold: float = 0.5)
                 keep = (good >= threshold) & (bad < threshold)
                 yield C.put(b, p_quality=pa.array(good), p_toxic=pa.array(bad), quality_score=pa.array(good * (1 - bad)), keep=pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return C.map_arrow(docs, run, schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15 | 1)
+KEEPS = "sentencepiece"  # what workers keep between tasks
 LONG = 256  # longer words (no white space for so long) are merged alone, by heap
 
 codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -359,16 +360,13 @@ class Model:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_models: dict[int, Model] = {}
-
-
-def _model(data) -> Model:
-    """The model of this worker; its tables and cache outlive a task."""
-    key = hash(data)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(data)
-    return _models[key]
+def _model(data: bytes) -> Model:
+    """The model of this worker; its tables and cache outlive a task of this operator."""
+    models: dict[bytes, Model] = C.kept(KEEPS, dict)
+    if data not in models:
+        models.clear()
+        models[data] = Model(data)
+    return models[data]
 
 
 # --------------------------------------------------------------------------- operators
@@ -402,7 +400,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", decoded: str |
                 more = {decoded: pa.array([m.decode(np.frombuffer(x, np.int32)) for x in blobs], pa.string())} if decoded else {}
                 yield C.put(part, token_ids=ids, n_tokens=pa.array(sizes), **more)
 
-    return docs.mapInArrow(run, schema)
+    return C.map_arrow(docs, run, schema, KEEPS)
 
 
 def decode(tokens: DataFrame, model: bytes, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -421,7 +419,7 @@ def decode(tokens: DataFrame, model: bytes, ids_col: str = "token_ids", to: str
             out = [None if nulls[i] else m.decode(values[offsets[i] : offsets[i + 1]]) for i in range(len(col))]
             yield C.put(b, **{to: pa.array([x or "" for x in out], pa.string())})
 
-    return tokens.mapInArrow(run, schema)
+    return C.map_arrow(tokens, run, schema, KEEPS)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
