@@ -392,7 +392,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", decoded: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shared.value)
         for b in batches:
-            for part in C.slices(b, text_col, 1 << 22):
+            for part in C.slices(b, text_col, 1 << 21):
                 blobs = m.encode(part.column(text_col).to_pylist())
                 sizes = np.fromiter((len(x) // 4 for x in blobs), np.int64, len(blobs))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
