@@ -43,10 +43,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("round_bytes", [96 << 20, 1])
-def test_line_dedup(spark, round_bytes):
+@pytest.mark.parametrize(("probes", "hot"), [(1 << 20, 64), (1, 64), (1, 3), (1, 1)])
+def test_line_dedup(spark, probes, hot):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in ROWS], "doc_id long, text string, n_lines int, h1 string")
-    out = line_dedup.line_dedup(df, keys_per_shard=1, round_bytes=round_bytes)
+    out = line_dedup.line_dedup(df, keys_per_shard=1, probes_per_group=probes, hot_rows=hot)
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in out.collect()]
     assert sorted(got, key=repr) == brute_lines(ROWS) and "h1" in out.columns
 

@@ -4,9 +4,11 @@ Distinct line hashes that at least two documents hold are dealt to shards.  Each
 perfect hash (levels of bits with ranks) that indexes compact arrays: a 64-bit fingerprint, the number of
 documents and the smallest document id.  Documents probe the arrays; lines are never joined.
 
-Arrays reach the executors in rounds of at most ``round_bytes`` (measured before each broadcast), so what
-is broadcast never grows with the corpus; beyond one round the drop marks travel with the documents in a
-written table from round to round.
+Nothing grows but what is exchanged, and the number of passes never does: documents send their distinct line
+hashes to the task of a shard, which probes its arrays and answers with the lines to drop, and the marks meet
+the documents by id (documents without marks never leave their place).  A shard's lines are split by a salt
+into groups of about ``probes_per_group``.  Lines that hold a thousandth of all (a thousand lines at most) are
+broadcast as one more shard instead.
 
 Defined results: null or empty text is one empty line; rows of a null id keep all lines and count nowhere;
 repeated rows of one id are one document; an empty table gives an empty table; of other columns all stay,
@@ -22,9 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common as C
 
@@ -151,50 +154,86 @@ class Shard:
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     s = Shard(*(pdf[c].to_numpy() for c in ("h1", "h2", "first", "n")))
     blob = pickle.dumps(s, protocol=5)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "size": [len(blob)], "blob": [blob]})
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "blob": [blob]})
 
 
 def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
     return (h1 % shards).astype(np.int64)  # numpy's % is never negative here, as pmod
 
 
-def _probe(id_col: str, text_col: str, min_chars: int, shards: int, tables, last: bool, schema: pa.Schema):
+def _hashed(id_col: str, text_col: str, min_chars: int, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place, hashes (two columns) and document of all lines of b that have a key; rows of a null id have none."""
+    rows, where, hashes = [], [], []
+    ids = b.column(id_col).to_pylist()
+    for r, (i, t) in enumerate(zip(ids, b.column(text_col).to_pylist(), strict=True)):
+        if i is not None:
+            at, hs = key_hashes(t, min_chars)
+            rows.extend([r] * len(at))
+            where.extend(at)
+            hashes.extend(hs)
+    rows = np.array(rows, np.int64)
+    doc = np.array([0 if i is None else i for i in ids], np.int64)[rows] if len(rows) else rows
+    return rows, np.array(where, np.int64), np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2), doc
+
+
+def _probes(id_col: str, text_col: str, min_chars: int, shards: int, salts: int, hot):
+    """What documents ask shards: lines of (hashes, document), packed by shard and salt; hot lines aren't asked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: pickle.loads(v) for k, v in tables.value.items()} if tables else {}
         for b in (p for batch in batches for p in C.slices(batch, text_col, 4 << 20)):
-            ids, texts = b.column(id_col).to_pylist(), b.column(text_col).to_pylist()
-            marks = b.column("__drop").to_pylist() if "__drop" in b.schema.names else [None] * len(ids)
-            rows, where, hashes = [], [], []
-            for r, (i, t) in enumerate(zip(ids, texts, strict=True)):
-                if i is not None:
-                    at, hs = key_hashes(t, min_chars)
-                    rows.extend([r] * len(at))
-                    where.extend(at)
-                    hashes.extend(hs)
-            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            rows, where = np.array(rows, np.int64), np.array(where, np.int64)
-            gone = np.zeros(len(rows), bool)
-            doc = np.array([0 if i is None else i for i in ids], np.int64)[rows] if len(rows) else rows
-            part = shard_of(h[:, 0], shards)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(shards + 1)) if shards < 1 << 16 else None
-            for k, s in own.items():
-                at = order[cuts[k] : cuts[k + 1]] if cuts is not None else np.flatnonzero(part == k)
-                if len(at):
-                    ok, first = s.owners(np.ascontiguousarray(h[at, 0]), np.ascontiguousarray(h[at, 1]))
-                    gone[at] = ok & (first != doc[at])
+            _, _, h, doc = _hashed(id_col, text_col, min_chars, b)
+            lines = np.column_stack([h, doc])
+            if hot.value is not None and len(lines):
+                lines = lines[~hot.value.owners(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]))[0]]
+            lines = np.unique(lines, axis=0)
+            salt = C.mix(np.ascontiguousarray(lines[:, 2]).view(_U)) % _U(salts)
+            at = shard_of(lines[:, 0], shards) * salts + salt.astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            group, start = np.unique(at[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(lines[order], start[1:])] if len(group) else []
+            yield pa.RecordBatch.from_arrays([pa.array(group // salts, pa.int64()), pa.array(group % salts, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "salt", "lines"])
+
+    return run
+
+
+def _answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
+    """The asked lines that another, smaller document owns, packed by document."""
+    if shard.num_rows and asked.num_rows:
+        table = pickle.loads(shard.column("blob")[0].as_py())
+        lines = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 3) for x in asked.column("lines")])
+        ok, first = table.owners(np.ascontiguousarray(lines[:, 0]), np.ascontiguousarray(lines[:, 1]))
+        lines = lines[ok & (first != lines[:, 2])]
+        lines = lines[np.argsort(lines[:, 2], kind="stable")]
+        docs, start = np.unique(lines[:, 2], return_index=True)
+        gone = [np.ascontiguousarray(x).tobytes() for x in np.split(lines[:, :2], start[1:])] if len(docs) else []
+    else:
+        docs, gone = np.zeros(0, np.int64), []
+    return pa.table([pa.array(docs, pa.int64()), pa.array(gone, pa.binary())], names=["doc", "gone"])
+
+
+def _drop(id_col: str, text_col: str, min_chars: int, hot, schema: pa.Schema):
+    """Texts without the lines marked in ``__gone`` and without hot lines that another document owns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for batch in batches for p in C.slices(batch, text_col, 4 << 20)):
+            rows, where, h, doc = _hashed(id_col, text_col, min_chars, b)
+            h1, h2 = np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
+            away = np.zeros(len(rows), bool)
+            if hot.value is not None and len(rows):
+                ok, first = hot.value.owners(h1, h2)
+                away = ok & (first != doc)
             dropped: dict[int, set] = {}
-            for r, w in zip(rows[gone].tolist(), where[gone].tolist(), strict=True):
+            cuts = np.searchsorted(rows, np.arange(b.num_rows + 1))
+            for r, marks in enumerate(b.column("__gone").to_pylist()):
+                lo, hi = cuts[r], cuts[r + 1]
+                if marks and hi > lo:
+                    own = {part[k : k + 16] for part in marks for k in range(0, len(part), 16)}
+                    mine = h[lo:hi].tobytes()
+                    away[lo:hi] |= np.fromiter((mine[k : k + 16] in own for k in range(0, len(mine), 16)), bool, hi - lo)
+            for r, w in zip(rows[away].tolist(), where[away].tolist(), strict=True):
                 dropped.setdefault(r, set()).add(w)
-            for r, m in enumerate(marks):
-                if m:
-                    dropped.setdefault(r, set()).update(np.frombuffer(m, np.int32).tolist())
-            if not last:
-                drop = [np.array(sorted(dropped[r]), np.int32).tobytes() if r in dropped else None for r in range(len(ids))]
-                yield C.put(b, __drop=pa.array(drop, pa.binary())).cast(schema)
-                continue
             kept, n_lines, n_dropped = [], [], []
-            for r, t in enumerate(texts):
+            for r, t in enumerate(b.column(text_col).to_pylist()):
                 d = dropped.get(r)
                 n_lines.append((t or "").count("\n") + 1)
                 n_dropped.append(len(d) if d else 0)
@@ -206,7 +245,7 @@ def _probe(id_col: str, text_col: str, min_chars: int, shards: int, tables, last
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, keys_per_shard: int = 1 << 18, round_bytes: int = 96 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, keys_per_shard: int = 1 << 18, probes_per_group: int = 1 << 20, hot_rows: int = 64
 ) -> DataFrame:
     """docs with the repeated lines gone from ``text_col``, and ``n_lines`` (before) and ``n_dropped``.
 
@@ -214,34 +253,31 @@ def line_dedup(
     it stays in the smallest id only.
     """
     spark: SparkSession = docs.sparkSession
-    docs = C.without(docs, "n_lines", "n_dropped", "__drop").withColumn(id_col, F.col(id_col).cast("long"))
-    keys = C.map_arrow(docs.select(id_col, text_col), _emit(id_col, text_col, min_chars), "h1 long, h2 long, doc long")
-    seen = keys.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("__last"), F.count(F.lit(1)).alias("n"))
-    seen = C.written(seen.where("first < __last").drop("__last"), "lines")
-    shards = max(1, -(-seen.count() // keys_per_shard))
-    blobs = seen.withColumn("shard", F.expr(f"pmod(h1, {shards}L)")).groupBy("shard").applyInPandas(_build, "shard long, size long, blob binary")
-    blobs = C.written(blobs, "line-shards")
-    rounds, size = [[]], 0
-    for r in blobs.select("shard", "size").orderBy("shard").toLocalIterator():
-        if rounds[-1] and size + r["size"] > round_bytes:
-            rounds.append([])
-            size = 0
-        rounds[-1].append(r["shard"])
-        size += r["size"]
-    fields = list(docs.schema.fields)
-    mid = T.StructType([*fields, T.StructField("__drop", T.BinaryType())])
-    end = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    for k, part in enumerate(rounds):
-        last = k == len(rounds) - 1
-        got = {r["shard"]: bytes(r["blob"]) for r in blobs.where(F.col("shard").between(part[0], part[-1])).select("shard", "blob").toLocalIterator()} if part else {}
-        tables = spark.sparkContext.broadcast(got) if got else None
-        schema = end if last else mid
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        docs = C.map_arrow(docs, _probe(id_col, text_col, min_chars, shards, tables, last, to_arrow_schema(schema)), schema)
-        if not last:
-            docs = C.written(docs, "line-round")
-    return docs
+    docs = C.without(docs, "n_lines", "n_dropped", "__gone").withColumn(id_col, F.col(id_col).cast("long"))
+    texts = docs.select(id_col, text_col)
+    keys = C.map_arrow(texts, _emit(id_col, text_col, min_chars), "h1 long, h2 long, doc long")
+    met = Observation()
+    held = keys.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("__last"), F.count(F.lit(1)).alias("n"))
+    seen = C.written(held.observe(met, F.sum("n").alias("lines")).where("first < __last").drop("__last"), "lines")
+    lines = met.get["lines"] or 0
+    # at most C.HOT lines hold a HOT-th of all: they alone go to every worker, the others are asked for
+    most = max(hot_rows, lines // C.HOT)
+    often = seen.where(F.col("n") >= most).toPandas()
+    hot = spark.sparkContext.broadcast(Shard(*(often[c].to_numpy() for c in ("h1", "h2", "first", "n"))) if len(often) else None)
+    rest = seen.where(F.col("n") < most)
+    shards = max(1, -(-rest.count() // keys_per_shard))
+    salts = max(1, -(-lines // (shards * probes_per_group)))  # a group's lines are bounded; how many there are grows
+    blobs = rest.withColumn("shard", F.expr(f"pmod(h1, {shards}L)")).groupBy("shard").applyInPandas(_build, "shard long, blob binary")
+    blobs = C.written(blobs, "line-shards").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    asked = C.map_arrow(texts, _probes(id_col, text_col, min_chars, shards, salts, hot), "shard long, salt long, lines binary")
+    gone = asked.groupBy("shard", "salt").cogroup(blobs.groupBy("shard", "salt")).applyInArrow(_answer, "doc long, gone binary")
+    gone = C.written(gone, "line-marks")
+    marks = gone.groupBy(F.col("doc").alias(id_col)).agg(F.collect_list("gone").alias("__gone"))
+    maybe = C.IdFilter(gone.select(F.col("doc").alias(id_col)).distinct(), id_col).maybe(id_col)
+    marked = C.merge_join(docs.where(maybe), marks, id_col, "left").select(*docs.columns, "__gone")
+    docs = marked.unionByName(docs.where(~maybe).withColumn("__gone", F.lit(None).cast("array<binary>")))
+    end = T.StructType([*docs.drop("__gone").schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return C.map_arrow(docs, _drop(id_col, text_col, min_chars, hot, to_arrow_schema(end)), end)
 
 
 # --------------------------------------------------------------------------- query
