@@ -245,7 +245,7 @@ def _drop(id_col: str, text_col: str, min_chars: int, hot, schema: pa.Schema):
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, keys_per_shard: int = 1 << 18, probes_per_group: int = 1 << 20, hot_rows: int = 64
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, keys_per_shard: int = 1 << 16, probes_per_group: int = 1 << 18, hot_rows: int = 64
 ) -> DataFrame:
     """docs with the repeated lines gone from ``text_col``, and ``n_lines`` (before) and ``n_dropped``.
 
