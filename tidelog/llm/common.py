@@ -109,8 +109,8 @@ def _begin(keeps: str) -> None:
         del _kept[what]
 
 
-def _end() -> None:
-    """Hand free memory of this worker back to the system, where its C library can."""
+def trim() -> None:
+    """Hand free memory of this process back to the system, where its C library can."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -125,7 +125,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         try:
             yield from run(batches)
         finally:
-            _end()
+            trim()
 
     return df.mapInArrow(lean, schema)
 

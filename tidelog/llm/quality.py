@@ -9,8 +9,8 @@ of for the other.  A quarter of the labelled sample is held out: on it each view
 calibrated views are combined.  The result scores every document; kept are those of quality >= 0.5 and
 toxicity < 0.5.
 
-Only the fit is bounded; its samples are the first rows by hash of the id.  They and the fitted weights are all
-that reaches the driver or is broadcast.
+Only the fit is bounded; its samples are the first rows by hash of the id.  One task fits them; the fitted weights
+alone reach the driver and are broadcast.
 
 Defined results: null text, language and source count as empty; null ids are scored like others but never
 trained on; a label that has one value only (or no rows) in the sample predicts that value (quality 1, toxicity
@@ -20,10 +20,12 @@ for the four that are made.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ LANGS, SOURCES, SIZES = 64, 512, 40
 META_DIMS = LANGS + SOURCES + 3 * SIZES + 5 * BINS
 DIMS = (TEXT_DIMS, META_DIMS)
 LABELS = ("quality", "toxic")
+LEAST = 3  # training documents that a feature must occur in
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _SPACE, _OTHER, _PUNCT = range(7)
 _CLASS = np.full(256, _OTHER, np.int64)
@@ -124,13 +127,13 @@ class Linear:
         hit = np.bincount(feats, weights=y[rows], minlength=self.dims)
         base = pos / n
         z = np.abs(hit - on * base) / np.sqrt(np.maximum(on * base * (1 - base), 1e-9))
-        z[on < 3] = 0
+        z[on < LEAST] = 0
         chosen = np.sort(np.argsort(-z, kind="stable")[: self.most])
         chosen = chosen[z[chosen] > 4.5]
         place = np.full(self.dims, -1)
         place[chosen] = np.arange(len(chosen))
         keep = place[feats] >= 0
-        r, f = rows[keep], place[feats[keep]]
+        r, f = rows[keep].astype(np.int64), place[feats[keep]]
         w, b = np.zeros(len(chosen)), np.log(max(pos, 0.5) / max(n - pos, 0.5))
         each = np.where(y > 0, 0.5 / max(pos, 1), 0.5 / max(n - pos, 1))  # both classes weigh the same
         m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
@@ -175,7 +178,7 @@ class CoTrained:
             number = np.cumsum(own) - 1
             r, f = data[k]
             use = own[r]
-            return Linear(DIMS[k]).fit(number[r[use]], f[use], labels[k][own])
+            return Linear(DIMS[k]).fit(number.astype(np.int32)[r[use]], f[use], labels[k][own])
 
         def calibrated(k: int, m: Linear) -> tuple[np.ndarray, np.ndarray]:
             z = m.logits(*data[k], n)
@@ -235,25 +238,17 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), *cols], names=["doc_id", "quality", "toxic", "text", "meta"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, pool_rows: int = 3000, rounds: int = 3, batch: int = 150, sure: float = 0.98) -> dict[str, CoTrained]:
-    """The co-trained models of both labels, from at most train_rows labelled and pool_rows other documents."""
-    by_hash = F.xxhash64("doc_id")
-    own = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), *[F.col(k).cast("int") for k in LABELS])
-    # rows of the smallest hashes; a bound on the hash leaves some four times as many, so that no task sorts more
-    few = lambda df, h, rows: df.where(h < F.lit(int(min(1.0, 4 * rows / max(1, df.count())) * (2.0**64 - 2048) - 2.0**63)))
-    told = few(own, by_hash, train_rows).orderBy(by_hash, *LABELS).limit(train_rows).dropDuplicates(["doc_id"])
-    all_ids, second = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null"), F.xxhash64("doc_id", F.lit(1))
-    pool = few(all_ids, second, pool_rows).orderBy(second).limit(pool_rows).distinct()
-    # both samples are bounded by their parameters, so they may be broadcast
-    ids = told.join(pool.withColumn("pooled", F.lit(True)), "doc_id", "full").drop("pooled")
-    base = docs.select(F.col("doc_id").cast("long"), *[F.col(k).cast("string") for k in ("text", "lang", "source")])
-    rows = C.map_arrow(base.join(F.broadcast(ids), "doc_id"), _sample_features, "doc_id long, quality int, toxic int, text binary, meta binary")
-    got = rows.toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+def _fitted(got: pd.DataFrame, rounds: int, batch: int, sure: float) -> dict[str, CoTrained]:
+    """The models of a sample: rows of _sample_features in any order."""
+    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
     out = {}
     data = []
-    for name in ("text", "meta"):
-        parts = [np.frombuffer(x, np.int32) for x in got[name]]
-        data.append((np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)))
+    for name, dims in zip(("text", "meta"), DIMS, strict=True):
+        parts = [np.frombuffer(x, np.int32) for x in got.pop(name)]
+        f = np.concatenate([np.zeros(0, np.int32), *parts])
+        r = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+        often = (np.bincount(f, minlength=dims) >= LEAST)[f]  # others are never chosen
+        data.append((r[often], f[often]))
     order = np.random.Generator(np.random.PCG64(1)).permutation(len(got))
     for name in LABELS:
         y = got[name].to_numpy(np.float64, na_value=np.nan)
@@ -268,6 +263,31 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, pool_rows: i
     return out
 
 
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, pool_rows: int = 3000, rounds: int = 3, batch: int = 150, sure: float = 0.98) -> dict[str, CoTrained]:
+    """The co-trained models of both labels, from at most train_rows labelled and pool_rows other documents."""
+    by_hash = F.xxhash64("doc_id")
+    own = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), *[F.col(k).cast("int") for k in LABELS])
+    # rows of the smallest hashes; a bound on the hash leaves some four times as many, so that no task sorts more
+    few = lambda df, h, rows: df.where(h < F.lit(int(min(1.0, 4 * rows / max(1, df.count())) * (2.0**64 - 2048) - 2.0**63)))
+    told = few(own, by_hash, train_rows).orderBy(by_hash, *LABELS).limit(train_rows).dropDuplicates(["doc_id"])
+    all_ids, second = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null"), F.xxhash64("doc_id", F.lit(1))
+    pool = few(all_ids, second, pool_rows).orderBy(second).limit(pool_rows).distinct()
+    # both samples are bounded by their parameters, so they may be broadcast
+    ids = told.join(pool.withColumn("pooled", F.lit(True)), "doc_id", "full").drop("pooled")
+    base = docs.select(F.col("doc_id").cast("long"), *[F.col(k).cast("string") for k in ("text", "lang", "source")])
+    rows = C.map_arrow(base.join(F.broadcast(ids), "doc_id"), _sample_features, "doc_id long, quality int, toxic int, text binary, meta binary")
+
+    def fitted(sample: pa.Table) -> pa.Table:
+        try:
+            return pa.table({"models": [pickle.dumps(_fitted(sample.to_pandas(), rounds, batch, sure), protocol=5)]})
+        finally:
+            C.trim()
+
+    # the sample is bounded, so one task may hold it; the driver sees the models only
+    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "models binary").first()
+    return pickle.loads(got["models"]) if got else {k: CoTrained(constant=float(k == "quality")) for k in LABELS}
+
+
 # --------------------------------------------------------------------------- scoring
 
 
