@@ -302,7 +302,7 @@ class Model:
             unknown = i < 0
         return np.array(ids, np.int32).tobytes()
 
-    def learn(self, words: set[str], most: int = 300_000) -> None:
+    def learn(self, words: set[str], most: int = 200_000) -> None:
         """Encode words that the cache doesn't hold; the cache has two generations of ``most`` words."""
         if len(self.cache) > most:
             self.old, self.cache = self.cache, {}
@@ -319,8 +319,9 @@ class Model:
         for length, own in by.items():
             if length >= len(self.powers):
                 self.powers = np.cumprod(np.concatenate([[_U(1)], np.full(length + 1, _B, _U)]))
-            for lo in range(0, len(own), 8192):
-                part = own[lo : lo + 8192]
+            many = max(64, min(8192, (8192 << 5) // length))  # tables of bounded size, however long the words
+            for lo in range(0, len(own), many):
+                part = own[lo : lo + many]
                 ids, starts, count = self.search(part, length)
                 odd = ((ids == -1) & (np.arange(length) >= length - count[:, None])).any(1)
                 ids32, size = ids.astype(np.int32), 4 * length
