@@ -9,8 +9,8 @@ of for the other.  A quarter of the labelled sample is held out: on it each view
 calibrated views are combined.  The result scores every document; kept are those of quality >= 0.5 and
 toxicity < 0.5.
 
-Only the fit is bounded; its samples are the first rows by hash of the id.  One task fits them; the fitted weights
-alone reach the driver and are broadcast.
+Only the fit is bounded; its samples are the first rows by hash of the id.  They and the fitted weights are all
+that reaches the driver or is broadcast.
 
 Defined results: null text, language and source count as empty; null ids are scored like others but never
 trained on; a label that has one value only (or no rows) in the sample predicts that value (quality 1, toxicity
@@ -20,7 +20,6 @@ for the four that are made.
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -130,10 +129,11 @@ class Linear:
         z[on < LEAST] = 0
         chosen = np.sort(np.argsort(-z, kind="stable")[: self.most])
         chosen = chosen[z[chosen] > 4.5]
-        place = np.full(self.dims, -1)
+        place = np.full(self.dims, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
-        keep = place[feats] >= 0
-        r, f = rows[keep].astype(np.int64), place[feats[keep]]
+        spot = place[feats]
+        keep = spot >= 0
+        r, f = rows[keep].astype(np.int64), spot[keep].astype(np.int64)
         w, b = np.zeros(len(chosen)), np.log(max(pos, 0.5) / max(n - pos, 0.5))
         each = np.where(y > 0, 0.5 / max(pos, 1), 0.5 / max(n - pos, 1))  # both classes weigh the same
         m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
@@ -276,16 +276,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, pool_rows: i
     ids = told.join(pool.withColumn("pooled", F.lit(True)), "doc_id", "full").drop("pooled")
     base = docs.select(F.col("doc_id").cast("long"), *[F.col(k).cast("string") for k in ("text", "lang", "source")])
     rows = C.map_arrow(base.join(F.broadcast(ids), "doc_id"), _sample_features, "doc_id long, quality int, toxic int, text binary, meta binary")
-
-    def fitted(sample: pa.Table) -> pa.Table:
-        try:
-            return pa.table({"models": [pickle.dumps(_fitted(sample.to_pandas(), rounds, batch, sure), protocol=5)]})
-        finally:
-            C.trim()
-
-    # the sample is bounded, so one task may hold it; the driver sees the models only
-    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "models binary").first()
-    return pickle.loads(got["models"]) if got else {k: CoTrained(constant=float(k == "quality")) for k in LABELS}
+    try:
+        return _fitted(rows.toPandas(), rounds, batch, sure)
+    finally:
+        C.trim()
 
 
 # --------------------------------------------------------------------------- scoring
