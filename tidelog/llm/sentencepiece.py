@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
 Texts are cut into words (a piece never spans the start of a run of word marks or a character that no piece
-holds).  All distinct words of one length advance together: at every end position the hashes of the substrings
-that end there are cut from prefix hashes and probe the sorted piece keys; among the pieces found the best
-continuation of the path so far is taken by vectorised maxima, which store backpointers.
+holds).  All distinct words of a batch advance together: from every character at once a trie of the pieces is
+walked, which leaves the pieces that stand there; then, end position by end position, the best continuation of the
+paths so far is taken among the pieces that end there by vectorised maxima, which store backpointers.
 
 Models of both kinds are read.  For unigram models the maximum is that of the summed scores.  For BPE models a
 sum of scores would give other pieces than merging does; there the maximum runs over the pieces that may follow
@@ -39,8 +39,10 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15 | 1)
+_NONE = _U((1 << 64) - 1)
 KEEPS = "sentencepiece"  # what workers keep between tasks
 LONG = 256  # longer words (no white space for so long) are merged alone, by heap
+BATCH = 1 << 16  # characters of the words that are searched together; a longer word stands alone
 
 codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
@@ -107,7 +109,7 @@ class Model:
         self.longest = max(len(self.pieces[i]) for i in usable)
         self.score = np.array(self.scores, np.float64)
         self.len = np.array([len(p) for p in self.pieces], np.int64)
-        self.powers = np.full(max(LONG, self.longest) + 2, _B, _U)
+        self.powers = np.full(self.longest + 2, _B, _U)
         self.powers[0] = 1
         self.powers = np.cumprod(self.powers)
         self.hash = np.zeros(n, _U)
@@ -128,6 +130,7 @@ class Model:
         self.words = re.compile(f"\n|{blank}+[^{blank}\n]*|[^{blank}\n]+") if "\n" not in self.chars else re.compile(f"{blank}+[^{blank}]*|[^{blank}]+")
         if self.kind == BPE:
             self._splits(usable)
+        self._trie([i for i in usable if self.kind != BPE or self.made[i]])
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pair_keys, self.pair_ok = np.full(1 << 20, (1 << 64) - 1, _U), np.zeros(1 << 20, bool)  # answers of may_follow, one per place
@@ -250,44 +253,113 @@ class Model:
 
     # ------------------------------------------------------------------ search
 
-    def search(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The paths of words of one length: (piece ids, -1 for an unknown character; their starts; how many), at the right end of each row."""
+    def _trie(self, ids: list[int]) -> None:
+        """A trie of these pieces: steps (node, character) in a table with linear probing, and the piece that ends at each node or -1."""
+        steps, ends = {}, [-1]
+        for i in ids:
+            node = 0
+            for c in self.pieces[i]:
+                step = node << 21 | ord(c)
+                node = steps.get(step, 0)
+                if not node:
+                    node = steps[step] = len(ends)
+                    ends.append(-1)
+            ends[node] = i
+        self.ends = np.array(ends, np.int32)
+        bits = (4 * len(ends)).bit_length()
+        self.shift = _U(64 - bits)
+        self.steps, self.nodes = np.full(1 << bits, _NONE, _U), np.zeros(1 << bits, np.int32)
+        keys, nodes = np.fromiter(steps, _U, len(steps)), np.fromiter(steps.values(), np.int32, len(steps))
+        place = (keys * _B >> self.shift).astype(np.int64)
+        while len(keys):
+            free = self.steps[place] == _NONE
+            self.steps[place[free]] = keys[free]  # of several at one place one stays, the others move on
+            stays = self.steps[place] == keys
+            self.nodes[place[stays]] = nodes[stays]
+            keys, nodes, place = keys[~stays], nodes[~stays], place[~stays] + 1 & (1 << bits) - 1
+
+    def _step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The trie's next nodes, 0 where there is none."""
+        key = nodes.astype(_U) << _U(21) | codes
+        place = (key * _B >> self.shift).astype(np.int64)
+        there = self.steps[place]
+        found = there == key
+        out = np.where(found, self.nodes[place], 0)
+        far = np.flatnonzero(~found & (there != _NONE))
+        while len(far):
+            place[far] = at = place[far] + 1 & len(self.steps) - 1
+            there = self.steps[at]
+            found = there == key[far]
+            out[far[found]] = self.nodes[at[found]]
+            far = far[~found & (there != _NONE)]
+        return out
+
+    def _standing(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first character, length, id) of all pieces that stand in the words; characters that are no piece have the id -1.
+
+        left: the number of characters from each one to its word's end.
+        """
+        starts, sizes, found = [], [], []
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int32)
+        for size in range(1, self.longest + 1):
+            node = self._step(node, codes[at + (size - 1)])
+            ids = self.ends[node]
+            is_ = np.flatnonzero(ids >= 0) if size > 1 else slice(None)
+            starts.append(at[is_])
+            found.append(ids[is_])
+            sizes.append(np.full(len(starts[-1]), size))
+            go = np.flatnonzero((node > 0) & (left[at] > size))
+            at, node = at[go], node[go]
+            if not len(at):
+                break
+        return np.concatenate(starts), np.concatenate(sizes), np.concatenate(found)
+
+    def search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The paths of words: (piece ids, -1 for an unknown character, of all words in order; where each piece ends in its word; how many each word has)."""
         n = len(words)
-        h = self._prefixes(words, length)
-        last = np.full((n, length + 1), -2)
-        last[:, 0] = -1
-        back = np.zeros((n, length + 1), np.int64)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                ids = self.probe(h[:, end] - h[:, start] * self.powers[end - start])
-                ok = last[:, start] != -2
-                if end - start > 1:
-                    ok &= ids >= 0
-                rows = np.flatnonzero(ok)
-                if not len(rows):
-                    continue
-                ids = ids[rows]
-                if self.kind == BPE:
-                    ok = (ids < 0) | self.made[ids]
-                    if start:
-                        ok[ok] = self.may_follow(last[rows[ok], start], ids[ok])
-                    value = np.where(ok, best[rows, start] + 1, -np.inf)
-                else:
-                    value = best[rows, start] + np.where(ids >= 0, self.score[ids], self.unk_score)
-                better = value > best[rows, end]
-                rows, ids = rows[better], ids[better]
-                best[rows, end], last[rows, end], back[rows, end] = value[better], ids, start
-        ids, starts = np.empty((n, length), np.int64), np.empty((n, length), np.int64)
-        count, at, rows = np.zeros(n, np.int64), np.full(n, length), np.arange(n)
-        while len(rows):
-            count[rows] += 1
-            column = length - count[rows]
-            ids[rows, column], starts[rows, column] = last[rows, at[rows]], back[rows, at[rows]]
-            at[rows] = back[rows, at[rows]]
-            rows = rows[at[rows] > 0]
-        return ids, starts, count
+        length = np.fromiter(map(len, words), np.int64, n)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        stop = np.cumsum(length)
+        word = np.repeat(np.arange(n), length)
+        start, size, ids = self._standing(codes, stop[word] - np.arange(len(codes)))
+        # a word of k characters has k + 1 seams: the one before character c of word w is c + w
+        a = start + word[start]
+        b = a + size
+        zero = stop - length + np.arange(n)
+        end = b - zero[word[start]]
+        most = int(length.max())
+        order = np.argsort(end.astype(np.uint16) if most < 1 << 16 else end, kind="stable")
+        a, b, ids = a[order], b[order], ids[order]
+        ends = np.searchsorted(end[order], np.arange(1, most + 2))
+        last = np.full(len(codes) + n, -1, np.int32)  # single characters are candidates, so every seam gets a path
+        back = np.full(len(last), len(last))
+        best = np.full(len(last), -np.inf)
+        best[zero] = 0
+        for lo, hi in zip(ends.tolist(), ends[1:].tolist()):
+            x, y, i = a[lo:hi], b[lo:hi], ids[lo:hi]
+            if self.kind == BPE:
+                ok = np.flatnonzero(self.may_follow(last[x], i))
+                x, y, i = x[ok], y[ok], i[ok]
+                value = best[x] + 1
+            else:
+                value = best[x] + np.where(i >= 0, self.score[i], self.unk_score)
+            np.maximum.at(best, y, value)
+            top = np.flatnonzero(value == best[y])
+            x, y, i = x[top], y[top], i[top]
+            np.minimum.at(back, y, x)  # of equal values the longest piece
+            top = np.flatnonzero(x == back[y])
+            last[y[top]] = i[top]
+        on = np.zeros(len(last), bool)
+        first = np.zeros(len(last), bool)
+        first[zero] = True
+        at = zero + length
+        while len(at):
+            on[at] = True
+            at = back[at]
+            at = at[~first[at]]
+        seams = np.flatnonzero(on)
+        count = np.diff(np.searchsorted(seams, zero), append=len(seams))
+        return last[seams], seams - np.repeat(zero, count), count
 
     def _blob(self, word: str, path: list[tuple[int, int, int]]) -> bytes:
         ids: list[int] = []
@@ -309,28 +381,28 @@ class Model:
         again = words & self.old.keys()
         for w in again:
             self.cache[w] = self.old[w]
-        by: dict[int, list[str]] = {}
-        tied = [t for t in self.tied if t[0] != MARK] if self.kind == BPE else []
-        for w in words - again:
-            if self.kind == BPE and (len(w) > LONG or MARK + MARK in w or (tied and any(t in w for t in tied))):
+        rest = list(words - again)
+        if self.kind == BPE:
+            tied = [t for t in self.tied if t[0] != MARK]
+            alone = [w for w in rest if len(w) > LONG or MARK + MARK in w or (tied and any(t in w for t in tied))]
+            for w in alone:
                 self.cache[w] = self._blob(w, self.merge(w))
-            else:
-                by.setdefault(len(w), []).append(w)
-        for length, own in by.items():
-            if length >= len(self.powers):
-                self.powers = np.cumprod(np.concatenate([[_U(1)], np.full(length + 1, _B, _U)]))
-            many = max(64, min(8192, (8192 << 5) // length))  # tables of bounded size, however long the words
-            for lo in range(0, len(own), many):
-                part = own[lo : lo + many]
-                ids, starts, count = self.search(part, length)
-                odd = ((ids == -1) & (np.arange(length) >= length - count[:, None])).any(1)
-                ids32, size = ids.astype(np.int32), 4 * length
-                raw = ids32.tobytes()
-                for r, (w, c) in enumerate(zip(part, count.tolist(), strict=True)):
-                    self.cache[w] = raw[(r + 1) * size - 4 * c : (r + 1) * size]
-                for r in np.flatnonzero(odd).tolist():
-                    a = starts[r, length - count[r] :].tolist()
-                    self.cache[part[r]] = self._blob(part[r], list(zip(ids[r, length - count[r] :].tolist(), a, [*a[1:], length], strict=True)))
+            if alone:
+                rest = list(words.difference(again, alone))
+        till = np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest)))
+        hi = 0
+        while hi < len(rest):
+            lo = hi
+            hi = max(lo + 1, int(np.searchsorted(till, (till[lo - 1] if lo else 0) + BATCH, side="right")))
+            part = rest[lo:hi]
+            ids, ends, count = self.search(part)
+            stop = np.cumsum(count)
+            raw, to = ids.tobytes(), (4 * stop).tolist()
+            self.cache.update(zip(part, map(raw.__getitem__, map(slice, [0, *to], to)), strict=False))
+            for r in np.unique(np.searchsorted(stop, np.flatnonzero(ids < 0), side="right")).tolist():
+                mine = slice(int(stop[r] - count[r]), int(stop[r]))
+                to = ends[mine].tolist()
+                self.cache[part[r]] = self._blob(part[r], list(zip(ids[mine].tolist(), [0, *to[:-1]], to, strict=True)))
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
