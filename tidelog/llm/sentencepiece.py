@@ -374,7 +374,7 @@ class Model:
             unknown = i < 0
         return np.array(ids, np.int32).tobytes()
 
-    def learn(self, words: set[str], most: int = 200_000) -> None:
+    def learn(self, words: set[str], most: int = 50_000) -> None:
         """Encode words that the cache doesn't hold; the cache has two generations of ``most`` words."""
         if len(self.cache) > most:
             self.old, self.cache = self.cache, {}
@@ -404,6 +404,10 @@ class Model:
                 to = ends[mine].tolist()
                 self.cache[part[r]] = self._blob(part[r], list(zip(ids[mine].tolist(), [0, *to[:-1]], to, strict=True)))
 
+    def forget(self) -> None:
+        """Drop the words that the cache holds; the tables stay."""
+        self.cache, self.old = {}, {}
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -434,7 +438,11 @@ class Model:
 
 
 def _model(data: bytes) -> Model:
-    """The model of this worker; its tables and cache outlive a task of this operator."""
+    """The model of this worker; its tables outlive a task of this operator, its cached words don't.
+
+    An executor may have more workers than cores (a stage with two Python steps leaves two a core), and tasks go
+    through all of them in turn, so what a worker keeps counts for idle ones too.
+    """
     models: dict[bytes, Model] = C.kept(KEEPS, dict)
     if data not in models:
         models.clear()
@@ -464,14 +472,17 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", decoded: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shared.value)
-        for b in batches:
-            for part in C.slices(b, text_col, 1 << 21):
-                blobs = m.encode(part.column(text_col).to_pylist())
-                sizes = np.fromiter((len(x) // 4 for x in blobs), np.int64, len(blobs))
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
-                more = {decoded: pa.array([m.decode(np.frombuffer(x, np.int32)) for x in blobs], pa.string())} if decoded else {}
-                yield C.put(part, token_ids=ids, n_tokens=pa.array(sizes), **more)
+        try:
+            for b in batches:
+                for part in C.slices(b, text_col, 1 << 20):
+                    blobs = m.encode(part.column(text_col).to_pylist())
+                    sizes = np.fromiter((len(x) // 4 for x in blobs), np.int64, len(blobs))
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
+                    more = {decoded: pa.array([m.decode(np.frombuffer(x, np.int32)) for x in blobs], pa.string())} if decoded else {}
+                    yield C.put(part, token_ids=ids, n_tokens=pa.array(sizes), **more)
+        finally:
+            m.forget()
 
     return C.map_arrow(docs, run, schema, KEEPS)
 
