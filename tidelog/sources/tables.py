@@ -13,7 +13,7 @@ from .store import TraceStore, as_trace
 
 I, X, S = Ty.INT, Ty.FLOAT, Ty.TEXT
 
-# name -> (columns, whether they hold the table's key)
+# name -> (columns, whether the first one is the table's key)
 TABLES: dict[str, tuple[list[tuple[str, Ty]], bool]] = {
     "region": ([("r_regionkey", I), ("r_name", S)], True),
     "nation": ([("n_nationkey", I), ("n_name", S), ("n_regionkey", I)], True),
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def add_table(store: TraceStore, sf_dir: str, name: str) -> None:
     columns, unique = TABLES[name]
-    store.bulk(name, as_trace(table(store.spark, sf_dir, name), columns), Schema.of(*columns), unique=unique)
+    store.bulk(name, as_trace(table(store.spark, sf_dir, name), columns), Schema.of(*columns), unique=unique, key=(0,) if unique else None)
 
 
 def world(spark: SparkSession, sf_dir: str, *names: str) -> TraceStore:
