@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..plans import ir
 from ..plans.find import W, Snapshot, Weighted, evaluate, saved
 from ..plans.local import check_step
+from ..sources.storage import Buckets
 
 
 def _monotone(p: ir.Plan) -> bool:
@@ -42,14 +45,21 @@ def fixpoint(plan: ir.Iterate, snap: Snapshot, most_rounds: int = 10_000) -> Wei
     raise RuntimeError("the recursion didn't end")
 
 
+MANY = 2_000_000  # rows from which they are kept in buckets
+ROWS = 250_000  # rows of a frontier to a bucket
+
+
 def grow(plan: ir.Iterate, snap: Snapshot, known: Weighted, front: Weighted, most_rounds: int = 10_000) -> Weighted:
     """Semi-naive: derive from the frontier until nothing new comes."""
-    parts = [known]
+    n = known.df.count()
     for i in range(most_rounds):
+        if n >= MANY and known.cols:
+            return _grow_in_buckets(plan, snap, known, front, most_rounds - i)
         new = saved(_minus(evaluate(plan.step, snap, front).distinct(), known), "front")
-        if new.df.isEmpty():
+        more = new.df.count()
+        if more == 0:
             return known
-        parts.append(new)
+        n += more
         known = _both(known, new)
         if i % 8 == 7:  # many small tables become one
             known = saved(known, "fix")
@@ -57,6 +67,66 @@ def grow(plan: ir.Iterate, snap: Snapshot, known: Weighted, front: Weighted, mos
     raise RuntimeError("the recursion didn't end")
 
 
+def _grow_in_buckets(plan: ir.Iterate, snap: Snapshot, known: Weighted, front: Weighted, most_rounds: int) -> Weighted:
+    """grow for many rows: what is known lies in buckets by row and is read where it is compared.
+
+    A round shuffles the frontier to the rows that the step joins, which lie in buckets of their own, and what it derives
+    to the buckets of the known rows, and writes what is new.  Known rows move only when frontiers have outgrown the buckets.
+    """
+    cols, spark = known.cols, known.df.sparkSession
+    one = lambda df: Weighted(df.select(*cols, F.lit(1).cast("long").alias(W)), known.types, True, True)
+    size, open_tables = front.df.count(), []
+    try:
+        for _ in range(most_rounds):
+            wanted = max(spark.sparkContext.defaultParallelism, -(-size // ROWS))
+            if not open_tables or wanted > 4 * open_tables[0].n:
+                table = Buckets(spark, "fix", cols, wanted)
+                old, open_tables = open_tables, [table, *open_tables]
+                table.add(known.df.select(*cols).repartition(wanted, *cols))
+                step, at = _with_fixed(plan.step, snap, wanted, open_tables)
+                for x in old:
+                    open_tables.remove(x)
+                    x.close()
+            w = evaluate(step, at, front)
+            moved = w.df.select(*cols, *(() if w.positive else (W,))).repartition(table.n, *cols)
+            derived = replace(w, df=moved).distinct().df.select(*cols)
+            # the hash table is that of the derived rows, and the known ones stream by
+            both = derived.hint("shuffle_hash").join(table.table().withColumn("__known", F.lit(True)), cols, "left")
+            new = table.add(both.where("__known is null").select(*cols))
+            known, size = one(table.rows()), new.count()
+            if size == 0:
+                return known
+            front = one(new)
+    finally:
+        for x in open_tables:
+            x.close()
+    raise RuntimeError("the recursion didn't end")
+
+
+def _with_fixed(step: ir.Plan, snap: Snapshot, n: int, open_tables: list[Buckets]) -> tuple[ir.Plan, Snapshot]:
+    """The step with what its joins bring to the recursion variable written once, in n buckets by the join's keys."""
+    over = dict(snap.overrides)
+
+    def fix(p: ir.Plan, keys: tuple[int, ...]) -> ir.Plan:
+        w = evaluate(p, snap)
+        t = Buckets(snap.store.spark, "side", [f"c{k}" for k in dict.fromkeys(keys)], n)
+        open_tables.append(t)
+        t.add(w.df.select(*w.cols, *(() if w.unit else (W,))).repartition(n, *t.cols))
+        df, name = t.table(), f"side {len(over)}\x00"
+        over[name] = replace(w, df=df.withColumn(W, F.lit(1).cast("long")) if w.unit else df)
+        return ir.Rel(name)
+
+    def change(p: ir.Plan) -> ir.Plan | None:
+        if not isinstance(p, ir.Join) or not p.left_keys:
+            return None
+        a, b = ir.recursion_uses(p.left), ir.recursion_uses(p.right)
+        if a and not b:
+            return replace(p, left=ir.substitute(p.left, change), right=fix(p.right, p.right_keys))
+        return replace(p, left=fix(p.left, p.left_keys), right=ir.substitute(p.right, change)) if b and not a else None
+
+    return ir.substitute(step, change), Snapshot(snap.store, snap.at, over)
+
+
 class IncrementalFixpoint:
     """A fixpoint kept as a table and advanced by what changed: insertions grow it, deletions delete and rederive.
 
@@ -134,8 +204,6 @@ def _one_at_a_time(p: ir.Plan, name: str) -> list[ir.Plan]:
 
         def change(x: ir.Plan, k=k, seen=seen) -> ir.Plan | None:
             if isinstance(x, (ir.Rel, ir.Range, ir.RangeOn)) and x.name == name and next(seen) == k:
-                from dataclasses import replace
-
                 return replace(x, name=f"{name}\x00")
             return None
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,38 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """A table in the shared folder whose rows lie in buckets by the hash of some columns, so that a join on them reads
+    it in place.  Spark knows buckets by tables only: one without a name of its own is registered until closed."""
+
+    def __init__(self, spark: SparkSession, what: str, cols: list[str], n: int):
+        self.spark, self.cols, self.n = spark, cols, n
+        self.name = f"tidelog_{what}_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/{self.name}"
+        self.files: set[str] = set()
+        self.schema = None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write more rows; they alone, as a DataFrame."""
+        mode, self.schema = "append" if self.files else "error", df.schema
+        df.write.format("parquet").bucketBy(self.n, *self.cols).option("path", self.path).mode(mode).saveAsTable(self.name)
+        files = set(self.table().inputFiles())
+        new, self.files = sorted(files - self.files), files
+        return self.spark.read.schema(self.schema).parquet(*[unquote(f) for f in new]) if new else df.limit(0)
+
+    def table(self) -> DataFrame:
+        """All rows, in buckets; while open."""
+        return self.spark.table(self.name)
+
+    def rows(self) -> DataFrame:
+        """All rows, also after closing."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def close(self) -> None:
+        """Take the table off the catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 class Folder:
     """A folder of small files that are created once: of two writers of one name, one wins."""
 
